@@ -5,6 +5,7 @@ from __future__ import annotations
 from .common import table
 from .jaccard_join import jaccard_components
 from .mixing import mix_report
+from .packing import packed
 from .pii import personal_data
 from .quality_rules import quality_verdicts
 from .secrets import secrets
@@ -14,6 +15,10 @@ def op1_pii(spark, sf_dir):
     return personal_data(table(spark, sf_dir, "documents"))
 
 
+def op2_best_fit_packing(spark, sf_dir):
+    return packed(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark, sf_dir):
     return quality_verdicts(table(spark, sf_dir, "documents"))
 
@@ -30,7 +35,7 @@ def op8_ngram_jaccard_join(spark, sf_dir):
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_pii": op1_pii, "op4_quality_rules": op4_quality_rules, "op5_source_mixing": op5_source_mixing, "op7_secret_scan": op7_secret_scan, "op8_ngram_jaccard_join": op8_ngram_jaccard_join}
+QUERIES = {"op1_pii": op1_pii, "op2_best_fit_packing": op2_best_fit_packing, "op4_quality_rules": op4_quality_rules, "op5_source_mixing": op5_source_mixing, "op7_secret_scan": op7_secret_scan, "op8_ngram_jaccard_join": op8_ngram_jaccard_join}
 
 _RULE_SQL = """
 WITH docs AS (SELECT doc_id, source, coalesce(text, '') AS text, row_number() OVER () AS rid FROM documents),

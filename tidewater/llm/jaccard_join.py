@@ -29,8 +29,9 @@ from .common import components, durable, shingle_sets, signed, small
 
 #: Classes of a candidate group that a task holds as one side of the join.
 BLOCK = 1024
-#: Shingles that one task of the counting step receives, about.
-PART_ROWS = 1_000_000
+#: Shingles that one task of the counting step receives, about, and its least number of tasks.
+#: With that many, a class has few shingles in a task at any size, so the counts sent on grow as the input.
+PART_ROWS, LEAST_PARTS = 1_000_000, 64
 #: The part of the hash space whose shingles the counting step looks at.
 SEEN = np.uint64(3 << 61)
 CHUNK_ROWS = 20_000
@@ -225,10 +226,9 @@ def _join_unit(num, den):
 
 def link_classes(docs: DataFrame, described: DataFrame, num: int = 3, den: int = 4) -> tuple[DataFrame, DataFrame]:
     """(key, root, links) of classes with a link to another class, and the classes."""
-    spark = docs.sparkSession
     classes = durable(described.where("n > 0").groupBy("key").agg(F.max("n").alias("n"), F.max("m").alias("m"), F.count("*").alias("copies"), F.min("doc_id").alias("lowest")))
     total = classes.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_ROWS))
+    parts = max(LEAST_PARTS, -(-total // PART_ROWS))
     texts = docs.select("text")
     counts = texts.mapInArrow(_entries, "token long, key long, cnt long").repartition(parts, "token").mapInArrow(_shared, "key long, cnt long").groupBy("key").agg(F.sum("cnt").alias("cnt"))
     slack = f"n - (n * {num} + {den - 1}) div {den}"

@@ -9,6 +9,7 @@ from .packing import packed
 from .pii import personal_data
 from .quality_rules import quality_verdicts
 from .secrets import secrets
+from .toxicity import toxicity
 
 
 def op1_pii(spark, sf_dir):
@@ -35,7 +36,11 @@ def op8_ngram_jaccard_join(spark, sf_dir):
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_pii": op1_pii, "op2_best_fit_packing": op2_best_fit_packing, "op4_quality_rules": op4_quality_rules, "op5_source_mixing": op5_source_mixing, "op7_secret_scan": op7_secret_scan, "op8_ngram_jaccard_join": op8_ngram_jaccard_join}
+def op9_toxicity(spark, sf_dir):
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {"op1_pii": op1_pii, "op2_best_fit_packing": op2_best_fit_packing, "op4_quality_rules": op4_quality_rules, "op5_source_mixing": op5_source_mixing, "op7_secret_scan": op7_secret_scan, "op9_toxicity": op9_toxicity, "op8_ngram_jaccard_join": op8_ngram_jaccard_join}
 
 _RULE_SQL = """
 WITH docs AS (SELECT doc_id, source, coalesce(text, '') AS text, row_number() OVER () AS rid FROM documents),

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from .common import table
+from .html_text import main_text
 from .jaccard_join import jaccard_components
 from .mixing import mix_report
 from .packing import packed
 from .pii import personal_data
+from .quality_classifier import quality_scores
 from .quality_rules import quality_verdicts
 from .secrets import secrets
 from .toxicity import toxicity
@@ -20,6 +22,10 @@ def op2_best_fit_packing(spark, sf_dir):
     return packed(table(spark, sf_dir, "documents"))
 
 
+def op3_html_extraction(spark, sf_dir):
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op4_quality_rules(spark, sf_dir):
     return quality_verdicts(table(spark, sf_dir, "documents"))
 
@@ -28,6 +34,10 @@ def op5_source_mixing(spark, sf_dir):
     return mix_report(table(spark, sf_dir, "documents"))
 
 
+def op6_quality_classifier(spark, sf_dir):
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_secret_scan(spark, sf_dir):
     return secrets(table(spark, sf_dir, "documents"))
 
@@ -40,7 +50,7 @@ def op9_toxicity(spark, sf_dir):
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op1_pii": op1_pii, "op2_best_fit_packing": op2_best_fit_packing, "op4_quality_rules": op4_quality_rules, "op5_source_mixing": op5_source_mixing, "op7_secret_scan": op7_secret_scan, "op9_toxicity": op9_toxicity, "op8_ngram_jaccard_join": op8_ngram_jaccard_join}
+QUERIES = {"op1_pii": op1_pii, "op2_best_fit_packing": op2_best_fit_packing, "op3_html_extraction": op3_html_extraction, "op4_quality_rules": op4_quality_rules, "op5_source_mixing": op5_source_mixing, "op6_quality_classifier": op6_quality_classifier, "op7_secret_scan": op7_secret_scan, "op9_toxicity": op9_toxicity, "op8_ngram_jaccard_join": op8_ngram_jaccard_join}
 
 _RULE_SQL = """
 WITH docs AS (SELECT doc_id, source, coalesce(text, '') AS text, row_number() OVER () AS rid FROM documents),

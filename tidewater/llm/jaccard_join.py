@@ -276,3 +276,20 @@ def jaccard_components(docs: DataFrame, num: int = 3, den: int = 4) -> DataFrame
     ids = whole.groupBy("component").agg(F.min("lowest").alias("component_id"))
     known = durable(whole.join(ids, "component").select("key", "component_id", "n_links"))
     return described.join(small(known), "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def one_of_each(docs: DataFrame, num: int = 3, den: int = 4) -> DataFrame:
+    """The rows of docs without those linked, directly or not, to one with a smaller doc_id.
+
+    Rows that repeat a doc_id and its text count once.  Rows with a null doc_id stay, as
+    nothing tells them apart; so do wordless texts.  All columns of docs are returned.
+    """
+    parts = durable(jaccard_components(docs, num, den).where("doc_id is not null"))
+    gone = parts.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    again = durable(parts.groupBy(F.col("doc_id").alias("_again")).agg(F.count("*").alias("_rows")).where("_rows > 1").select("_again"))
+    left = docs.join(small(gone), docs["doc_id"] == F.col("_gone"), "left_anti")
+    if not again.head(1):
+        return left
+    again = small(again)
+    once = left.join(again, left["doc_id"] == F.col("_again"), "left_anti")
+    return once.unionByName(left.join(again, left["doc_id"] == F.col("_again"), "left_semi").dropDuplicates(["doc_id", "text"]))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .bm25 import bm25_top
 from .common import table
 from .html_text import main_text
 from .jaccard_join import jaccard_components
@@ -50,7 +51,12 @@ def op9_toxicity(spark, sf_dir):
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op1_pii": op1_pii, "op2_best_fit_packing": op2_best_fit_packing, "op3_html_extraction": op3_html_extraction, "op4_quality_rules": op4_quality_rules, "op5_source_mixing": op5_source_mixing, "op6_quality_classifier": op6_quality_classifier, "op7_secret_scan": op7_secret_scan, "op9_toxicity": op9_toxicity, "op8_ngram_jaccard_join": op8_ngram_jaccard_join}
+def op10_bm25_search(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return bm25_top(docs, docs.where("doc_id % 100 = 0"))
+
+
+QUERIES = {"op10_bm25_search": op10_bm25_search, "op1_pii": op1_pii, "op2_best_fit_packing": op2_best_fit_packing, "op3_html_extraction": op3_html_extraction, "op4_quality_rules": op4_quality_rules, "op5_source_mixing": op5_source_mixing, "op6_quality_classifier": op6_quality_classifier, "op7_secret_scan": op7_secret_scan, "op9_toxicity": op9_toxicity, "op8_ngram_jaccard_join": op8_ngram_jaccard_join}
 
 _RULE_SQL = """
 WITH docs AS (SELECT doc_id, source, coalesce(text, '') AS text, row_number() OVER () AS rid FROM documents),

@@ -28,11 +28,21 @@ TOKENIZER = "word_bpe_49k.json"
 #: Width of the length bins that patterns are made of, and the shortest piece that patterns place.
 BIN, SHORT = 32, 256
 #: Entries of a worker's caches of words.
-CACHE = 400_000
+CACHE = 600_000
 
 # ---------------------------------------------------------------- tokens
 
 
+def _byte_letters() -> dict[int, int]:
+    """Byte-level alphabets write a byte as its Latin-1 character if that is visible, else as the next one from U+0100."""
+    visible = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: 0x100 + k for k, b in enumerate(hidden)}
+
+
+_LETTERS = _byte_letters()
+
+
 class _Words(dict):
     """Ids of white-space separated words, as little-endian 32-bit integers.
 
@@ -42,7 +52,7 @@ class _Words(dict):
 
     def __init__(self, tokenizer):
         super().__init__()
-        self.tokenizer, self.stems = tokenizer, {}
+        self.tokenizer, self.model, self.stems = tokenizer, tokenizer.model, {}
 
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -52,6 +62,14 @@ class _Words(dict):
         if known is None:
             if len(self.stems) >= CACHE:
                 self.stems.clear()
+            # one run of letters in lower case: past the normalizer and the splits, straight to the merges
+            found = self.model.tokenize(text if text.isascii() else text.encode().decode("latin-1").translate(_LETTERS))
+            known = self.stems[text] = np.array([t.id for t in found], "<u4").tobytes()
+        return known
+
+    def marks(self, text: str) -> bytes:
+        known = self.stems.get(text)
+        if known is None:
             known = self.stems[text] = self.encode(text)
         return known
 
@@ -64,7 +82,7 @@ class _Words(dict):
         if body.isalpha() and max(body) < "Ā":
             ids = self.stem(body.lower())
             if len(body) < len(text):
-                ids += self.stem(text[len(body) :])
+                ids += self.marks(text[len(body) :])
         else:
             ids = self.encode(text)
         self[word] = ids

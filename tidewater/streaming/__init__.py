@@ -1,0 +1 @@
+"""Nothing streams: the dialect has batch statements only."""

@@ -8,7 +8,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows that a side may have to be broadcast; a larger side is joined by a shuffle.
@@ -72,28 +72,25 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node reachable over edges (a, b), both long.
 
-    Alternating large-star and small-star steps; each round is written to the shared
-    folder.  Every step groups by a node and emits at most as many edges as it reads.
-    Nodes without an edge don't appear.  Empty in, empty out.
+    Alternating large-star and small-star steps; each round is written to the shared folder
+    and shuffles three times.  Every step emits at most as many edges as it reads.  Windows
+    over a node's edges spill.  Nodes without an edge don't appear.  Empty in, empty out.
     """
-    own = lambda df: df.where("a <> b").distinct()
-    now = durable(own(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))))
-    size = None
+    by = Window.partitionBy("a")
+    now = durable(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    before = None
     for _ in range(rounds):
-        # large star: link every larger neighbour to the smallest of the closed neighbourhood
-        both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        big = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        # small star: link all smaller neighbours and the node itself to the smallest
-        big = own(big)
-        low = big.groupBy("a").agg(F.min("b").alias("m"))
-        rest = big.join(low, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b"))
-        now = durable(own(rest))
-        # done when every node has one parent that is itself a root
-        stats = now.agg(F.count("*"), F.countDistinct("a"), F.sum(F.hash("a", "b").cast("long"))).first()
-        if size == stats and stats[0] == stats[1]:
+        state = now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
+        if state == before or not state[0]:
             break
-        size = stats
+        before = state
+        # large star: every larger neighbour is linked to the smallest of the closed neighbourhood
+        both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        big = both.withColumn("m", F.least(F.min("b").over(by), "a")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        # small star: the smaller neighbours and the node itself are linked to the smallest
+        low = big.withColumn("m", F.min("b").over(by))
+        rest = low.select(F.explode(F.when(F.col("b") == F.col("m"), F.array("a")).otherwise(F.array("a", "b"))).alias("a"), F.col("m").alias("b"))
+        now = durable(rest.where("a <> b").distinct())
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     pairs = now.select(F.col("a").alias("node"), F.col("b").alias("component"))

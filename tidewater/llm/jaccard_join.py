@@ -219,7 +219,8 @@ def _join_unit(num, den):
             met = np.unique(np.append(label[js], label[i]))
             if len(met) > 1:
                 label[np.isin(label, met)] = met[0]
-        return pa.table({"key": keys, "root": keys[label], "links": links})
+        # within one block the smallest class of a component is its root, and the component is whole
+        return pa.table({"key": keys, "root": keys[label], "links": links, "whole": (rows["blocks"].to_numpy() == 1)})
 
     return run
 
@@ -247,9 +248,9 @@ def link_classes(docs: DataFrame, described: DataFrame, num: int = 3, den: int =
     bins = max(1, -(-groups.count() // (2 * BLOCK)))
     member = groups.join(sizes, "component").join(held.withColumnRenamed("key", "node"), "node").withColumn("blocks", F.expr(f"cast((size + {BLOCK - 1}) div {BLOCK} as int)"))
     member = member.withColumn("own", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
-    one = member.where("blocks = 1").select(F.expr(f"pmod(xxhash64(component), {bins})").alias("unit"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("block"), F.col("node").alias("key"), "n", "copies", "tokens", "dfs")
-    more = member.where("blocks > 1").withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select(F.col("component").alias("unit"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("own").alias("block"), F.col("node").alias("key"), "n", "copies", "tokens", "dfs")
-    found = one.unionByName(more).groupBy("unit", "i", "j").applyInArrow(_join_unit(num, den), "key long, root long, links long")
+    one = member.where("blocks = 1").select(F.expr(f"pmod(xxhash64(component), {bins})").alias("unit"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("block"), F.col("node").alias("key"), "n", "copies", "tokens", "dfs", "blocks")
+    more = member.where("blocks > 1").withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select(F.col("component").alias("unit"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("own").alias("block"), F.col("node").alias("key"), "n", "copies", "tokens", "dfs", "blocks")
+    found = one.unionByName(more).groupBy("unit", "i", "j").applyInArrow(_join_unit(num, den), "key long, root long, links long, whole boolean")
     return durable(found), classes
 
 
@@ -267,9 +268,10 @@ def jaccard_components(docs: DataFrame, num: int = 3, den: int = 4) -> DataFrame
     """
     described = durable(describe(docs))
     found, classes = link_classes(docs, described, num, den)
-    reach = components(found.where("key <> root").select(F.col("key").alias("a"), F.col("root").alias("b")))
+    near = found.where("whole and links > 0").select("key", F.col("root").alias("component"))
+    split = found.where("not whole and key <> root").select(F.col("key").alias("a"), F.col("root").alias("b"))
+    near = near.unionByName(components(split).select(F.col("node").alias("key"), "component"))
     links = found.groupBy("key").agg(F.sum("links").alias("links"))
-    near = reach.withColumnRenamed("node", "key")
     whole = classes.where("copies > 1").select("key").unionByName(near.select("key")).distinct()
     whole = classes.join(whole, "key", "left_semi").join(near, "key", "left").join(links, "key", "left")
     whole = durable(whole.select("key", "lowest", F.coalesce("component", "key").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))

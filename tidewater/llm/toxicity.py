@@ -20,7 +20,7 @@ from .linear import labelled_sample, linear, logistic, sigmoid
 #: At most so many labelled documents are fitted on, and so many features kept by a model.
 FIT_ROWS, FEATURES = 12_000, 768
 FOLDS = 5
-#: Categories in the order of the chain.  A labelled toxic document is severe if at least SEVERE of its distinct words are toxic terms.
+#: Categories in the order of the chain.  A labelled toxic document is severe if at least SEVERE of its distinct words, or of their beginnings of one length, are toxic terms.
 CATEGORIES = ("toxic", "severe")
 SEVERE = 3
 CACHE = 300_000
@@ -30,12 +30,15 @@ _EDGES = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 
 
 def word_features(word: bytes) -> tuple[int, ...]:
-    """Hashed features of a raw word: the word in lower case without marks around it, and its first 4, 5 and 6 letters."""
+    """Hashed features of a raw word: the word in lower case without marks around it, and its first 4, 5 and 6 letters.
+
+    The lowest two bits tell which of these a feature is.
+    """
     w = _EDGES.sub("", word.decode().lower())
     if not w:
         return ()
-    forms = [w, *(f"{w[:k]}~" for k in (4, 5, 6) if len(w) > k)]
-    return tuple(xxhash.xxh3_64_intdigest(f) >> (64 - _SPACE) for f in forms)
+    forms = [(0, w), *((k - 3, w[:k]) for k in (4, 5, 6) if len(w) > k)]
+    return tuple(xxhash.xxh3_64_intdigest(f) >> (66 - _SPACE) << 2 | kind for kind, f in forms)
 
 
 class _Cache(dict):
@@ -166,7 +169,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Chain | Non
     first = Link(Sample(lists), toxic, np.arange(len(lists)), np.zeros((len(lists), 0)))
     terms = np.zeros(1 << _SPACE, bool)
     terms[list(first.terms)] = True
-    severe = toxic * np.array([terms[x].sum() >= SEVERE for x in lists], np.int64)
+    severe = toxic * np.array([np.bincount(x[terms[x]] & 3, minlength=4).max() >= SEVERE for x in lists], np.int64)
     return Chain(lists, {"toxic": toxic, "severe": severe})
 
 

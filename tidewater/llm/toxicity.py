@@ -102,7 +102,7 @@ class Link:
         self.chosen = np.sort(best[z[best] > 2.5])
         self.terms = set(self.chosen[(gap[self.chosen] > 0) & ((every - hits)[self.chosen] <= 0.02 * hits[self.chosen])].tolist())
         x = np.column_stack([sample.matrix(self.chosen)[rows], earlier[rows]])
-        self.w = logistic(x, y[rows].astype(float), ridge=0.3)
+        self.w = logistic(x, y[rows].astype(float), ridge=0.02)
 
     def logit(self, x: np.ndarray, earlier: np.ndarray) -> np.ndarray:
         return linear(self.w, np.column_stack([x, earlier]))

@@ -133,4 +133,26 @@ SELECT doc_id, size, g.source_size, target, (size * least(2, whole + (place <= c
 FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source LEFT JOIN c ON d.source IS NOT DISTINCT FROM c.source
 """
 
-ORACLE_SQL: dict[str, str] = {"op4_quality_rules": _RULE_SQL, "op5_source_mixing": _MIX_SQL}
+_JOIN_SQL = """
+WITH RECURSIVE docs AS (
+  SELECT doc_id, row_number() OVER () AS rid,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
+  FROM documents),
+shingles AS (
+  SELECT DISTINCT rid, unnest(CASE
+    WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' '))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM docs),
+n AS (SELECT rid, count(*) AS n FROM shingles GROUP BY rid),
+pairs AS (SELECT a.rid AS x, b.rid AS y, count(*) AS o FROM shingles a JOIN shingles b ON a.g = b.g AND a.rid < b.rid GROUP BY ALL),
+links AS (
+  SELECT x, y FROM pairs JOIN n AS p ON p.rid = x JOIN n AS q ON q.rid = y WHERE 100 * o >= 75 * (p.n + q.n - o)),
+both_ AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach(rid, other) AS (
+  SELECT rid, rid FROM docs UNION SELECT r.rid, b.y FROM reach r JOIN both_ b ON b.x = r.other),
+lowest AS (SELECT r.rid, min(d.doc_id) AS component_id FROM reach r JOIN docs d ON d.rid = r.other GROUP BY r.rid),
+degree AS (SELECT x AS rid, count(*) AS n_links FROM both_ GROUP BY x)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, coalesce(n_links, 0)::BIGINT AS n_links
+FROM docs LEFT JOIN n USING (rid) JOIN lowest USING (rid) LEFT JOIN degree USING (rid)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op8_ngram_jaccard_join": _JOIN_SQL, "op4_quality_rules": _RULE_SQL, "op5_source_mixing": _MIX_SQL}

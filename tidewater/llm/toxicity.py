@@ -18,14 +18,14 @@ from pyspark.sql import functions as F
 from .linear import labelled_sample, linear, logistic, sigmoid
 
 #: At most so many labelled documents are fitted on, and so many features kept by a model.
-FIT_ROWS, FEATURES = 12_000, 768
+FIT_ROWS, FEATURES = 10_000, 768
 FOLDS = 5
 #: Categories in the order of the chain.  A labelled toxic document is severe if at least SEVERE of its distinct words, or of their beginnings of one length, are toxic terms.
 CATEGORIES = ("toxic", "severe")
 SEVERE = 3
 CACHE = 300_000
 
-_SPACE = 22
+_SPACE = 21
 _EDGES = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 
 

@@ -21,7 +21,7 @@ from .common import durable, signed, text_chunks, word_hashes
 K1, B, TOP = 1.2, 0.75, 10
 #: Queries that are searched in one pass, documents of a block, and the parts of a shard's documents up to which a term is rare or middling.
 QUERY_BLOCK, DOC_BLOCK = 4096, 64
-TIERS = (0.02, 0.15)
+TIERS = (0.02, 0.1, 0.3)
 
 
 def _postings(column: pa.Array):
@@ -76,7 +76,7 @@ class Shard:
         norm = K1 * (1 - B + B * lengths / average)
         impact = tf * (K1 + 1) / (tf + norm[row])
         self.f_term, self.f_impact = term, impact  # by document, terms ascending
-        self.f_ends = np.searchsorted(row, np.arange(self.docs + 1))
+        self.f_ends = np.searchsorted(row, np.arange(self.docs + 1)).tolist()
         order = np.argsort(term, kind="stable")
         self.row, self.impact = row[order], impact[order]
         self.ends = np.searchsorted(term[order], np.arange(len(vocabulary) + 1))
@@ -102,10 +102,12 @@ class Shard:
         return np.bincount(self.b_block[at], np.repeat(idf, b - a) * self.b_max[at], self.blocks)
 
     def _full(self, docs: np.ndarray) -> np.ndarray:
-        """Scores of docs, which are in ascending order, with the weights that are set."""
-        a, b = self.f_ends[docs], self.f_ends[docs + 1]
-        at = _slices(a, b)
-        return np.bincount(np.repeat(np.arange(len(docs)), b - a), self.weight[self.f_term[at]] * self.f_impact[at], len(docs))
+        """Scores of docs with the weights that are set.  Equal texts have equal sums."""
+        out, ends = np.zeros(len(docs)), self.f_ends
+        for k, d in enumerate(docs.tolist()):
+            a, b = ends[d], ends[d + 1]
+            out[k] = (self.weight[self.f_term[a:b]] * self.f_impact[a:b]).sum()
+        return out
 
     def search(self, terms: np.ndarray, idf: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The documents that may be among the best k, with their scores; those tied with the k-th too."""
@@ -119,14 +121,14 @@ class Shard:
         found = np.arange(self.docs)
         for t in range(len(TIERS)):
             self._add(acc, terms[tier == t], idf[tier == t])
-            some = np.sort(np.argpartition(-acc, min(4 * k, self.docs) - 1)[: 4 * k]) if self.docs > 4 * k else np.arange(self.docs)
+            some = np.argpartition(-acc, k - 1)[:k] if self.docs > k else np.arange(self.docs)
             score = self._full(some)
             if len(some) >= k:
                 least = max(least, np.partition(score, len(score) - k)[len(score) - k])
             rest = self._bound(terms[tier > t], idf[tier > t])
             reach = acc + np.repeat(rest, DOC_BLOCK)[: self.docs]
             found = np.flatnonzero((reach >= least * (1 - 1e-9)) & (reach > 0))
-            if len(found) <= max(8 * k, self.docs // 50):
+            if len(found) <= 8 * k:
                 break
         score = self._full(found)
         self.weight[terms] = 0

@@ -22,6 +22,8 @@ K1, B, TOP = 1.2, 0.75, 10
 #: Queries that are searched in one pass, documents of a block, and the parts of a shard's documents up to which a term is rare or middling.
 QUERY_BLOCK, DOC_BLOCK = 4096, 64
 TIERS = (0.02, 0.1, 0.3)
+#: Documents of a shard.
+SHARD_ROWS = 8000
 
 
 def _postings(column: pa.Array):
@@ -141,12 +143,23 @@ class Shard:
 _HIT = "query_id long, doc_id long, score double"
 
 
+def _gathered(batches, rows: int):
+    """Batches joined to ones of about so many rows."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def _search(shared, average: float, k: int):
     def run(batches):
         queries, ends, term, idf, vocabulary = shared.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _gathered(batches, SHARD_ROWS):
             shard = Shard(batch.column("text"), vocabulary, average)
             ids = np.asarray(batch.column("doc_id"))
             hits = []

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
 import tempfile
 import uuid
 
@@ -15,7 +17,12 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 500_000
 
 
+#: Rows that Spark hands to a Python worker at a time; with long texts they are megabytes.
+BATCH_ROWS = 2000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -36,6 +43,7 @@ def shared_dir(spark: SparkSession) -> str:
 def durable(df: DataFrame) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: lineage ends here."""
     spark = df.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     path = f"{shared_dir(spark)}/tidewater/{uuid.uuid4().hex}"
     df.write.parquet(path)
     if not _written:
@@ -66,6 +74,28 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+# ---------------------------------------------------------------- memory of Python workers
+
+
+def tidy(function):
+    """function(batches) whose worker gives free memory back to the system when the task ends.
+
+    Workers outlive tasks; without it each keeps the most that any of its tasks has used.
+    """
+
+    @functools.wraps(function)
+    def run(batches):
+        try:
+            yield from function(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return run
+
+
 # ---------------------------------------------------------------- connected components
 
 

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, durable, shingle_sets, signed, small
+from .common import components, durable, shingle_sets, signed, small, tidy
 
 #: Classes of a candidate group that a task holds as one side of the join.
 BLOCK = 1024
@@ -46,6 +46,7 @@ def _slack(n, num: int, den: int):
     return n - (n * num + den - 1) // den
 
 
+@tidy
 def _describe(batches):
     for batch in batches:
         n, m, keys = (np.zeros(batch.num_rows, np.int64) for _ in range(3))
@@ -63,6 +64,7 @@ def describe(docs: DataFrame) -> DataFrame:
 _ENTRY = pa.schema([("token", pa.int64()), ("key", pa.int64()), ("cnt", pa.int64())])
 
 
+@tidy
 def _entries(batches):
     """cnt 0: one class here has the shingle; -1: several here have it, this is one; above 0: so many of the key's shingles are shared here."""
     done: set[int] = set()
@@ -88,6 +90,7 @@ def _entries(batches):
         yield from pa.table([signed(np.concatenate((t[head], own))), signed(np.concatenate((k[head], own))), np.concatenate((cnt, times.astype(np.int64)))], _ENTRY).to_batches(CHUNK_ROWS)
 
 
+@tidy
 def _shared(batches):
     parts = [tuple(np.asarray(batch.column(c)) for c in ("token", "key", "cnt")) for batch in batches]
     if not parts:
@@ -111,6 +114,7 @@ def _shared(batches):
     yield from pa.table({"key": keys, "cnt": total}).to_batches(CHUNK_ROWS)
 
 
+@tidy
 def _sets(batches):
     done: set[int] = set()
     for batch in batches:

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, small
+from .common import durable, small, tidy
 
 #: Tokens of a sequence, and the id that ends a document.
 LENGTH, END = 4096, 1
@@ -28,7 +28,7 @@ TOKENIZER = "word_bpe_49k.json"
 #: Width of the length bins that patterns are made of, and the shortest piece that patterns place.
 BIN, SHORT = 32, 256
 #: Entries of a worker's caches of words.
-CACHE = 600_000
+CACHE = 200_000
 
 # ---------------------------------------------------------------- tokens
 
@@ -110,6 +110,7 @@ _PIECE = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.
 
 
 def _pieces(path: str, length: int):
+    @tidy
     def run(batches):
         words, part = encoder(path), TaskContext.get().partitionId()
         seen = np.zeros(length + 1, np.int64)
@@ -281,6 +282,7 @@ def plan_table(plan, length: int = LENGTH) -> tuple[np.ndarray, ...]:
 def _place(table):
     keys, sequences, offsets = table
 
+    @tidy
     def run(batches):
         for batch in batches:
             length, rank = (np.asarray(batch.column(c)) for c in ("length", "rank"))

@@ -14,6 +14,8 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import tidy
+
 #: Order of kinds at the same start.  The first four are the base kinds.
 KINDS = ("email", "ip", "card", "phone", "contact", "iban", "ssn", "account")
 BASE = KINDS[:4]
@@ -125,6 +127,7 @@ def redact(text: str, spans) -> str:
 _SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
 
 
+@tidy
 def _scan(batches):
     for batch in batches:
         rows = []
@@ -156,6 +159,7 @@ def redacted(docs: DataFrame, text: str = "text", length: str | None = "n_chars"
     """
     names, schema = docs.columns, docs.schema
 
+    @tidy
     def run(batches):
         for batch in batches:
             texts = batch.column(names.index(text)).to_pylist()

@@ -16,6 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
 from .linear import labelled_sample, linear, logistic, sigmoid
 
 #: The most labelled and the most unlabelled documents that are fitted on.
@@ -167,6 +168,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, limit: float = LIMIT) ->
         return docs.select("doc_id", null.alias("text_score"), null.alias("meta_score"), null.alias("score"), F.lit(True).alias("kept"))
     score = _scorer(model, limit)
 
+    @tidy
     def run(batches):
         for batch in batches:
             a, b, both = score(batch)
@@ -182,6 +184,7 @@ def good_documents(docs: DataFrame, labels: DataFrame, limit: float = LIMIT) ->
         return docs
     score = _scorer(model, limit)
 
+    @tidy
     def run(batches):
         for batch in batches:
             yield batch.filter(pa.array(score(batch)[2] >= limit))

@@ -23,7 +23,7 @@ FOLDS = 5
 #: Categories in the order of the chain.  A labelled toxic document is severe if at least SEVERE of its distinct words, or of their beginnings of one length, are toxic terms.
 CATEGORIES = ("toxic", "severe")
 SEVERE = 3
-CACHE = 300_000
+CACHE = 200_000
 
 _SPACE = 21
 _EDGES = re.compile(r"^[\W\d_]+|[\W\d_]+$")

@@ -263,3 +263,19 @@ def test_template_classes(spark):
 )
 def test_page_text(html, text):
     assert html_text.Page(html).main_text() == text
+
+
+def test_template_inside_articles(spark):
+    """Repeated blocks inside articles go; what copies of one article share stays."""
+    note = "<p>Read more from our partners.</p><p>All rights kept.</p>"
+    rows = [(k, f"http://h.example/{k}", f"<article><h1>Title {k}</h1><p>Own {k}</p>{note}</article>") for k in range(6)]
+    rows += [(10 + k, f"http://h.example/{k}", f"<article><h1>Copied</h1><p>Shared by copies.</p><p>Ending {k}</p>{note}</article>") for k in range(8)]
+    rows += [(30 + k, f"http://same.example/{k}", "<main><h1>Same</h1><p>On each page.</p></main>") for k in range(5)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    text = {r.page_id: r.text for r in html_text.main_text(pages).collect()}
+    for k in range(6):
+        assert text[k] == f"Title {k}\nOwn {k}"
+    for k in range(8):
+        assert text[10 + k] == f"Copied\nShared by copies.\nEnding {k}"
+    for k in range(5):
+        assert text[30 + k] == "Same\nOn each page."

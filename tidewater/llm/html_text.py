@@ -5,9 +5,10 @@ Tokens of a host's pages with the same occurrence vector (how often the token is
 page) are an equivalence class.  A vector is kept as an order-free 64-bit signature, so
 classes come from one aggregation with map-side combine, however many pages a host has.
 Valid classes (enough pages, and more than one token or once on each page) nest by path into
-the host's template.  What a page has beside its template are its slots; the main text is
-that of the slots inside the article, or, without an article, of all slots that aren't menus,
-notices and the like.
+the host's template: a flat set of tokens, nested by their paths alone.  What a page has
+beside its template are its slots; the main text is that of the slots inside the article, or,
+without an article, of all slots that aren't menus, notices and the like.  A block that only
+one article's copies share is that article's text and not its host's template.
 """
 
 from __future__ import annotations
@@ -38,6 +39,7 @@ SPACED = frozenset("br td th img wbr".split()) - {"wbr"}
 #: Elements that aren't part of an article's text.
 ASIDE = frozenset("head nav footer aside form button select menu dialog fieldset search".split())
 _CUE = re.compile(r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|menus|sidebar|side-bar|aside|footer|masthead|topbar|ad|ads|adv|advert|adverts|advertisement|advertising|sponsor|sponsored|promo|promotion|banner|cookie|cookies|consent|gdpr|notice|notices|alert|popup|modal|overlay|comment|comments|commentlist|respond|disqus|replies|share|sharing|social|related|recommended|breadcrumb|breadcrumbs|newsletter|subscribe|signup|login|search|pagination|pager|widget|tags|skip|complementary|contentinfo|dialog)(?:$|[\s_-]|\d)", re.I)
+_HEADING = re.compile(r"/h[1-6](?:[.#][^/]*)?$")
 _HEADER = re.compile(r"(?:^|[\s_-])(?:header|site-header|page-header)(?:$|[\s_-])", re.I)
 _ARTICLE = re.compile(r"(?:^|[\s_-])(?:article|articlebody|article-body|post-content|post-body|entry-content|main-content|story|storybody|story-body)(?:$|[\s_-])", re.I)
 #: Starting one of these ends an open one of the set.
@@ -128,15 +130,25 @@ class Page:
     def tokens(self) -> Counter:
         """How often each tag path and each text block is on the page."""
         found = Counter(self.tags)
-        found.update(f"{path}\0{text}" for path, text, _, _ in self.blocks)
+        found.update(f"{path}\0{text}" for path, text, *_ in self.blocks)
         return found
 
     def main_text(self, template: frozenset[int] = frozenset()) -> str:
-        """Blocks of the slots that hold the main text."""
-        inside = [t for _, t, inner, out in self.blocks if inner and not out]
-        if inside:
-            return "\n".join(inside)
-        return "\n".join(t for p, t, _, out in self.blocks if not out and _hash(f"{p}\0{t}") not in template)
+        """Blocks of the slots that hold the main text.
+
+        An article that would be left without text stays whole.
+        """
+        body = [(p, t) for p, t, inner, out in self.blocks if inner and not out]
+        if not body:
+            return "\n".join(t for p, t, _, out in self.blocks if not out and _hash(f"{p}\0{t}") not in template)
+        own = [b for b in body if _hash(f"{b[0]}\0{b[1]}") not in template] or body
+        return "\n".join(t for _, t in own)
+
+    def keys(self, own: str) -> tuple[int, int]:
+        """What tells its article from others: the first heading, and the longest block; `own` if it has no text."""
+        body = [b for b in self.blocks if b[2] and not b[3]] or [b for b in self.blocks if not b[3]]
+        longest = max((t for _, t, *_ in body), key=len, default=own)
+        return _hash(next((t for p, t, *_ in body if _HEADING.search(p)), longest)), _hash(longest)
 
 
 def _hash(token: str) -> int:
@@ -149,35 +161,54 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
+_KEYS = ("title_low", "title_high", "longest_low", "longest_high")
+
+
+def _widen(keys: list[int], title: int, longest: int) -> list[int]:
+    keys[:] = min(keys[0], title), max(keys[1], title), min(keys[2], longest), max(keys[3], longest)
+    return keys
+
+
 def _count(batches):
     for batch in batches:
         found: dict[tuple[str, int], list[int]] = {}
         pages: Counter = Counter()
+        hosts: dict[str, list[int]] = {}
         # any number that tells pages apart: here the id, the url and the length of the html
         for page, url, html in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True):
             host = host_of(url)
             pages[host] += 1
             own = f"{page}|{url}|{len(html or '')}"
-            for token, times in Page(html or "").tokens().items():
-                kept = found.setdefault((host, _hash(token)), [0, 0, 0])
+            read = Page(html or "")
+            title, longest = read.keys(own)
+            _widen(hosts.setdefault(host, [title, title, longest, longest]), title, longest)
+            for token, times in read.tokens().items():
+                # only blocks may be an article's own
+                kept = found.setdefault((host, _hash(token)), [0, 0, 0, *([title, title, longest, longest] if "\0" in token else [None] * 4)])
                 kept[0] ^= _hash(f"{own}|{times}")
                 kept[1] += 1
                 kept[2] += times
+                if kept[3] is not None:
+                    kept[3:] = _widen(kept[3:], title, longest)
         for host, n in pages.items():
-            found[host, 0] = [0, n, n]
+            found[host, 0] = [0, n, n, *hosts[host]]
         rows = [(h, t, *v) for (h, t), v in found.items()]
-        columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 5, [pa.string(), *[pa.int64()] * 4], strict=True)]
-        yield pa.RecordBatch.from_arrays(columns, ["host", "token", "vector", "pages", "times"])
+        columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 9, [pa.string(), *[pa.int64()] * 8], strict=True)]
+        yield pa.RecordBatch.from_arrays(columns, ["host", "token", "vector", "pages", "times", *_KEYS])
 
 
 def templates(pages: DataFrame, least: int = PAGES, part: float = PART) -> DataFrame:
     """(host, tokens): hashes of the tokens in the valid equivalence classes of each host."""
-    counted = pages.select("page_id", "url", "html").mapInArrow(_count, "host string, token long, vector long, pages long, times long")
-    tokens = durable(counted.groupBy("host", "token").agg(F.bit_xor("vector").alias("vector"), F.sum("pages").alias("pages"), F.sum("times").alias("times")).where(f"pages >= {least}"))
-    hosts = tokens.where("token = 0").select("host", F.col("pages").alias("all_pages"))
+    counted = pages.select("page_id", "url", "html").mapInArrow(_count, ", ".join(["host string, token long, vector long, pages long, times long", *(f"{k} long" for k in _KEYS)]))
+    ends = [(F.min if k.endswith("low") else F.max)(k).alias(k) for k in _KEYS]
+    tokens = durable(counted.groupBy("host", "token").agg(F.bit_xor("vector").alias("vector"), F.sum("pages").alias("pages"), F.sum("times").alias("times"), *ends).where(f"pages >= {least}"))
+    # a title that all of a host's pages have tells no articles apart; the longest block may
+    hosts = tokens.where("token = 0").select("host", F.col("pages").alias("all_pages"), F.expr("title_low < title_high").alias("by_title"), F.expr("longest_low < longest_high").alias("by_longest"))
     mine = tokens.where("token <> 0").join(small(hosts), "host").where(F.col("pages") >= F.lit(part) * F.col("all_pages"))
-    classes = mine.groupBy("host", "vector", "pages").agg(F.collect_list("token").alias("tokens"), F.first("times").alias("times"), F.first("all_pages").alias("all_pages"))
-    valid = classes.where("size(tokens) > 1 or (pages = all_pages and times = pages)")
+    # what only the copies of one article share
+    copied = F.coalesce(F.expr("CASE WHEN by_title THEN title_low = title_high WHEN by_longest THEN longest_low = longest_high END"), F.lit(False))
+    classes = mine.groupBy("host", "vector", "pages").agg(F.collect_list(F.when(~copied, F.col("token"))).alias("tokens"), F.count("*").alias("size"), F.first("times").alias("times"), F.first("all_pages").alias("all_pages"))
+    valid = classes.where("size > 1 or (pages = all_pages and times = pages)")
     return valid.groupBy("host").agg(F.flatten(F.collect_list("tokens")).alias("tokens"))
 
 
@@ -187,14 +218,10 @@ def _extract(batches):
         known: dict[str, frozenset[int]] = {}
         hosts, tokens = batch.column("host"), batch.column("tokens")
         for k, html in enumerate(batch.column("html").to_pylist()):
-            page = Page(html or "")
-            template: frozenset[int] = frozenset()
-            if not any(inner and not left for _, _, inner, left in page.blocks):
-                host = hosts[k].as_py()
-                if host not in known:
-                    known[host] = frozenset(tokens[k].as_py() or ())
-                template = known[host]
-            out.append(page.main_text(template))
+            host = hosts[k].as_py()
+            if host not in known:
+                known[host] = frozenset(tokens[k].as_py() or ())
+            out.append(Page(html or "").main_text(known[host]))
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()), pa.array(map(len, out), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 

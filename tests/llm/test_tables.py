@@ -279,3 +279,27 @@ def test_template_inside_articles(spark):
         assert text[10 + k] == f"Copied\nShared by copies.\nEnding {k}"
     for k in range(5):
         assert text[30 + k] == "Same\nOn each page."
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<body class='single-post right-sidebar'><article><p>a</p></article></body>", "a"),
+        ("<body class='comments-open'><p>a</p></body>", "a"),
+        ("<main class='post-content with-sidebar'><p>a</p></main>", "a"),
+        ("<div class='layout with-sidebar'><article><p>a</p></article><div class=sidebar>no</div></div>", "a"),
+        ("<article><p>a</p><section class='related-work'><p>b</p></section></article>", "a\nb"),
+        ("<article><p>a</p></article><div class=related><article><p>teaser</p></article></div>", "a"),
+        ("<article><p>a</p><div class='related-posts'><p>no</p></div></article>", "a"),
+    ],
+)
+def test_cues_leave_wrappers_alone(html, text):
+    assert html_text.Page(html).main_text() == text
+
+
+def test_template_decides_on_cues_inside_articles(spark):
+    once = "<div class=notice><p>Only here.</p></div>"
+    rows = [(k, f"http://h.example/{k}", f"<article><h1>Title {k}</h1><p>Own {k}</p>{once if k == 3 else ''}<div class=comments><p>Reader {k}</p></div></article>") for k in range(6)]
+    text = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k in range(6):
+        assert text[k] == f"Title {k}\nOwn {k}" + ("\nOnly here." if k == 3 else "")

@@ -39,6 +39,8 @@ SPACED = frozenset("br td th img wbr".split()) - {"wbr"}
 #: Elements that aren't part of an article's text.
 ASIDE = frozenset("head nav footer aside form button select menu dialog fieldset search".split())
 _CUE = re.compile(r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|menus|sidebar|side-bar|aside|footer|masthead|topbar|ad|ads|adv|advert|adverts|advertisement|advertising|sponsor|sponsored|promo|promotion|banner|cookie|cookies|consent|gdpr|notice|notices|alert|popup|modal|overlay|comment|comments|commentlist|respond|disqus|replies|share|sharing|social|related|recommended|breadcrumb|breadcrumbs|newsletter|subscribe|signup|login|search|pagination|pager|widget|tags|skip|complementary|contentinfo|dialog)(?:$|[\s_-]|\d)", re.I)
+#: A class name inside an article counts only if all of its parts are such words, and one is a cue.
+_PLAIN = frozenset("area block body bottom box button buttons content container form group inner item items left links list panel posts right section top wrap wrapper".split())
 _HEADING = re.compile(r"/h[1-6](?:[.#][^/]*)?$")
 _HEADER = re.compile(r"(?:^|[\s_-])(?:header|site-header|page-header)(?:$|[\s_-])", re.I)
 _ARTICLE = re.compile(r"(?:^|[\s_-])(?:article|articlebody|article-body|post-content|post-body|entry-content|main-content|story|storybody|story-body)(?:$|[\s_-])", re.I)
@@ -47,13 +49,28 @@ _ENDS = {**{t: ("p",) for t in BLOCKS - {"body", "html", "head"}}, "li": ("p", "
 _SCOPE = frozenset("table ul ol dl select article section div nav aside body html blockquote form".split())
 
 
+def _strict(mark: str) -> bool:
+    """Whether one of the names in mark says nothing but that it is marginal."""
+    for name in mark.lower().split():
+        parts = re.split(r"[_-]+", name.rstrip("0123456789"))
+        if _CUE.search(name) and all(p in _PLAIN or _CUE.fullmatch(p) for p in parts if p):
+            return True
+    return False
+
+
 class Page:
-    """Blocks of a page: (path, text, in an article, left out), and its opening tags by path."""
+    """Blocks of a page: (path, text, in an article, left out, cue-marked paths inside the article), and its opening tags by path.
+
+    html and body have no cues.  If all articles stand in cue-marked elements, these hold the
+    page's text and their cues don't count.
+    """
 
     def __init__(self, html: str):
-        self.blocks: list[tuple[str, str, bool, bool]] = []
+        found: list[tuple[str, str, bool, bool, tuple[int, ...], tuple[str, ...]]] = []
+        holders: set[int] = set()  # cue-marked elements that hold an article
         self.tags: Counter = Counter()
-        stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]  # name, path, in an article, left out
+        # name, path, in an article, left out, cue-marked elements outside and inside of the article
+        stack: list[tuple[str, str, bool, bool, tuple[int, ...], tuple[str, ...]]] = [("", "", False, False, (), ())]
         parts: list[str] = []
         at, n = 0, len(html)
 
@@ -61,8 +78,8 @@ class Page:
             text = " ".join(entities.unescape("".join(parts)).split()) if parts else ""
             parts.clear()
             if text:
-                _, path, inside, out = stack[-1]
-                self.blocks.append((path, text, inside, out))
+                _, path, *rest = stack[-1]
+                found.append((path, text, *rest))
 
         def close(k):
             del stack[k:]
@@ -106,7 +123,7 @@ class Page:
                         break
             if name in VOID or (name not in BLOCKS and name not in ASIDE and name not in ("td", "th", "span")):
                 continue
-            _, path, inside, out = stack[-1]
+            _, path, inside, out, outer, inner = stack[-1]
             label, marks, hidden = "", [], False
             if m[3].strip():
                 for a in _ATTRIBUTE.finditer(m[3]):
@@ -115,17 +132,28 @@ class Page:
                         marks.append(value)
                         label += f".{value}" if key != "id" else f"#{value}"
                     hidden |= key == "hidden" or (key == "style" and re.search(r"display\s*:\s*none", value, re.I) is not None)
-            cue = any(map(_CUE.search, marks))
-            article = name in ("article", "main") or any(map(_ARTICLE.search, marks))
-            if not cue and name not in ASIDE:
-                inside = inside or article
-            # a header belongs to its article, not to the page, when it stands inside one
-            header = not inside and (name == "header" or any(map(_HEADER.search, marks)))
-            out = out or hidden or cue or header or name in ASIDE
+            named = name in ("article", "main")
+            article = named or any(_ARTICLE.search(x) and not _CUE.search(x) for m in marks for x in m.split())
+            whole = name in ("html", "body")
+            cue = not whole and any(map(_strict if inside or article else _CUE.search, marks))
             path = f"{path}/{name}{label}"
             self.tags[path] += 1
-            stack.append((name, path, inside, out))
+            if cue and inside:
+                inner = (*inner, path)
+            elif cue:
+                outer = (*outer, at)
+            if article and name not in ASIDE and (named or not cue):
+                inside = True
+                holders.update(outer)
+            # a header belongs to its article, not to the page, when it stands inside one
+            header = not inside and not whole and (name == "header" or any(map(_HEADER.search, marks)))
+            out = out or hidden or header or name in ASIDE
+            stack.append((name, path, inside, out, outer, inner))
         flush()
+        if any(inside and not out and not outer for _, _, inside, out, outer, _ in found):
+            holders = set()
+        #: Path, text, in an article, left out, paths of cue-marked elements inside the article.
+        self.blocks = [(path, text, inside, out or not holders.issuperset(outer), inner) for path, text, inside, out, outer, inner in found]
 
     def tokens(self) -> Counter:
         """How often each tag path and each text block is on the page."""
@@ -136,13 +164,15 @@ class Page:
     def main_text(self, template: frozenset[int] = frozenset()) -> str:
         """Blocks of the slots that hold the main text.
 
-        An article that would be left without text stays whole.
+        A cue-marked element inside an article is left out if it belongs to the template, or
+        if there is none.  An article that would be left without text stays whole.
         """
-        body = [(p, t) for p, t, inner, out in self.blocks if inner and not out]
+        body = [(p, t, cues) for p, t, inner, out, cues in self.blocks if inner and not out]
         if not body:
-            return "\n".join(t for p, t, _, out in self.blocks if not out and _hash(f"{p}\0{t}") not in template)
+            return "\n".join(t for p, t, _, out, _ in self.blocks if not out and _hash(f"{p}\0{t}") not in template)
+        body = [b for b in body if not any(not template or _hash(c) in template for c in b[2])] or body
         own = [b for b in body if _hash(f"{b[0]}\0{b[1]}") not in template] or body
-        return "\n".join(t for _, t in own)
+        return "\n".join(t for _, t, _ in own)
 
     def keys(self, own: str) -> tuple[int, int]:
         """What tells its article from others: the first heading, and the longest block; `own` if it has no text."""

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import pytest
 
@@ -119,3 +120,20 @@ def test_secret_table(spark):
 def test_model_of_little(values):
     model = secrets.FormatModel([("hex", v) for v in values], ["a", ""])
     assert (model.score("a1a1a1a1a1a1a1a1") > 0) == bool(values)
+
+
+def test_secret_model_does_not_depend_on_copies(spark, monkeypatch):
+    """A credential that is copied in most documents, and ever more of the same words, leave the model as it is."""
+    rng = random.Random(11)
+    key = lambda: "".join(rng.choice("abcdef0123456789") for _ in range(32))
+    access = lambda: "AKIA" + "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(16))
+    texts = [f"Some words, part-{k} and {key()} or {access()} end" for k in range(20)]
+    seen, make = [], secrets.FormatModel
+    monkeypatch.setattr(secrets, "FormatModel", lambda labelled, ordinary: seen.append(labelled) or make(labelled, ordinary))
+    fit = lambda rows: secrets.fit(spark.createDataFrame([(t,) for t in rows], "text string"), rows=30)
+    one, many = fit(texts * 3), fit(texts * 60 + [texts[0]] * 1000)
+    for labelled in seen:
+        assert Counter(k for k, _ in labelled) == {"hex": 15, "access": 15} and len(set(labelled)) == 30
+    assert many.automata.keys() == one.automata.keys()
+    again = fit(texts * 60)
+    assert again.plain == pytest.approx(one.plain) and again.least == pytest.approx(one.least)

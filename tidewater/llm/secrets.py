@@ -14,14 +14,17 @@ import math
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import durable
 
 KINDS = ("assign", "access", "hex", "format")
 BASE = KINDS[:3]
-#: The most labelled credentials and ordinary tokens that a model is fitted on; those with the lowest hashes are taken.
+#: The most distinct labelled credentials that a model is fitted on, shared among the kinds; of each those with the lowest hashes are taken.
+#: The bigrams of ordinary tokens are counted over all texts, and weigh like so many tokens at most.
 FIT_ROWS = 600
 
 _ASSIGN = re.compile(r"(?ai:(?:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
@@ -33,6 +36,12 @@ _CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=-])(?=[A-Za-z+/_.=-]*[0-9])(?=[0-9+
 _CLASS = {c: k for k, chars in {"d": "0123456789", "a": "abcdef", "l": "ghijklmnopqrstuvwxyz", "A": "ABCDEF", "U": "GHIJKLMNOPQRSTUVWXYZ", "+": "+", "/": "/", "_": "_", ".": ".", "=": "=", "-": "-"}.items() for c in chars}
 _SIZE = Counter(_CLASS.values())
 _FLOOR = 1e-4
+#: Classes by byte, as numbers: those of _SIZE, then any other character, then white space, which starts a token.
+_NAMES = [*_SIZE, None, "^"]
+_BYTE = np.full(256, len(_SIZE), np.uint8)
+for _c, _k in _CLASS.items():
+    _BYTE[ord(_c)] = _NAMES.index(_k)
+_BYTE[[9, 10, 11, 12, 13, 32]] = len(_SIZE) + 1
 
 
 def _mentions(low: str) -> bool:
@@ -133,21 +142,38 @@ class Automaton:
         return total + self.log[at][""]
 
 
+def _histogram(text: str) -> np.ndarray:
+    """How often each pair of _NAMES stands in text, as a table; characters are taken as bytes."""
+    raw = np.frombuffer(f" {text}".encode(), np.uint8)
+    total = np.zeros(len(_NAMES) ** 2, np.int64)
+    for at in range(0, len(raw) - 1, 1 << 18):
+        c = _BYTE[raw[at : at + (1 << 18) + 1]]
+        total += np.bincount(c[:-1] * np.uint8(len(_NAMES)) + c[1:], minlength=len(total))
+    return total.reshape(len(_NAMES), -1)
+
+
+def _counter(table: np.ndarray, scale: float = 1.0) -> Counter:
+    """Pairs of a class, or any start, and a class."""
+    return Counter({(_NAMES[a], _NAMES[b]): table[a, b] * scale for a, b in zip(*np.nonzero(table), strict=True) if b < len(_SIZE)})
+
+
+def _pairs(text: str) -> Counter:
+    return _counter(_histogram(text))
+
+
 class FormatModel:
     """Automata by kind, the bigram model of ordinary tokens, and the least score of a credential."""
 
-    def __init__(self, labelled: list[tuple[str, str]], ordinary: list[str], keep: float = 0.98):
+    def __init__(self, labelled: list[tuple[str, str]], ordinary: list[str] | Counter, keep: float = 0.98):
+        """ordinary: tokens, or the counts of their pairs of classes."""
         values = defaultdict(list)
         for kind, value in sorted(labelled):
             values[kind].append(value)
         self.automata = {k: Automaton(v) for k, v in values.items()}
-        pairs, singles = Counter(), Counter()
-        for word in ordinary:
-            classes = [_CLASS.get(x) for x in word]
-            for a, b in zip(["^", *classes], classes, strict=False):
-                if b:
-                    pairs[a, b] += 1
-                    singles[a] += 1
+        pairs = ordinary if isinstance(ordinary, Counter) else _pairs(" ".join(ordinary))
+        singles = Counter()
+        for (a, _), n in pairs.items():
+            singles[a] += n
         self.plain = {(a, b): math.log((pairs[a, b] + 0.5) / (singles[a] + 0.5 * len(_SIZE)) / _SIZE[b]) for a in ["^", *_SIZE] for b in _SIZE}
         scores = sorted(self.score(v) for _, v in labelled)
         self.least = max(0.0, scores[int((1 - keep) * len(scores))]) if scores else math.inf
@@ -172,32 +198,58 @@ class FormatModel:
 # ---------------------------------------------------------------- over tables
 
 
+def _without(text: str, base) -> str:
+    """text without its base spans."""
+    out, end = [], 0
+    for a, b, *_ in base:
+        if a >= end:
+            out.append(text[end:a])
+        end = max(end, b)
+    return " ".join([*out, text[end:]])
+
+
 def _labelled(batches):
-    """Values of base spans, and a few ordinary tokens of each text, with the hash that orders them."""
+    """Distinct values of base spans with the hash that orders them, and counts of pairs of classes outside of base spans."""
     for batch in batches:
-        kinds, values, order = [], [], []
+        values: set[tuple[str, str]] = set()
+        pairs = np.zeros((len(_NAMES), len(_NAMES)), np.int64)
         for text in batch.column("text").to_pylist():
             if not text:
                 continue
-            for _, _, kind, value in base_spans(text):
-                kinds.append(kind)
-                values.append(value)
-            words = text.split()
-            kinds.append("")
-            values.append(words[len(text) % len(words)] if words else "")
-        order = [hashlib.blake2b(v.encode(), digest_size=8).hexdigest() for v in values]
-        yield pa.RecordBatch.from_pydict({"kind": pa.array(kinds, pa.string()), "value": pa.array(values, pa.string()), "place": pa.array(order, pa.string())})
+            base = base_spans(text)
+            values.update((kind, value) for _, _, kind, value in base)
+            pairs += _histogram(_without(text, base) if base else text)
+        rows = [(k, v, hashlib.blake2b(v.encode(), digest_size=8).hexdigest(), 1) for k, v in values]
+        rows += [("", str(c), "", int(pairs.flat[c])) for c in np.flatnonzero(pairs)]
+        columns = zip(*rows, strict=True) if rows else [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [*[pa.string()] * 3, pa.int64()], strict=True)], ["kind", "value", "place", "n"])
+
+
+def _shares(sizes: dict[str, int], rows: int) -> dict[str, int]:
+    """How many of `rows` each kind gets: equal parts, and what smaller kinds leave goes to larger ones."""
+    out, left = {}, rows
+    for k, kind in enumerate(sorted(sizes, key=sizes.get)):
+        out[kind] = min(sizes[kind], left // (len(sizes) - k))
+        left -= out[kind]
+    return out
 
 
 def fit(docs: DataFrame, rows: int = FIT_ROWS) -> FormatModel:
     """A model of the credentials that base patterns label in docs.
 
-    All texts are searched; the model is fitted on at most `rows` credentials and `rows`
-    ordinary tokens, those whose hash is lowest.
+    All texts are searched; the automata are fitted on at most `rows` distinct credentials,
+    in equal parts of the kinds, those whose hash is lowest.  The bigrams of ordinary tokens
+    are those of all texts outside of base spans, scaled to the weight of `rows` tokens if
+    there are more.
     """
-    found = durable(docs.select("text").mapInArrow(_labelled, "kind string, value string, place string"))
-    lowest = lambda cond: found.where(cond).orderBy("place", "kind").limit(rows).collect()
-    return FormatModel([(r.kind, r.value) for r in lowest("kind <> ''")], [r.value for r in lowest("kind = ''")])
+    found = durable(docs.select("text").mapInArrow(_labelled, "kind string, value string, place string, n long"))
+    values = {kind: [r.value for r in found.where(F.col("kind") == kind).select("place", "value").distinct().orderBy("place", "value").limit(rows).collect()] for kind in BASE}
+    shares = _shares({k: len(v) for k, v in values.items()}, rows)
+    table = np.zeros((len(_NAMES), len(_NAMES)), np.int64)
+    for r in found.where("kind = ''").groupBy("value").agg(F.sum("n").alias("n")).collect():
+        table.flat[int(r.value)] = r.n
+    tokens = table[-1, :-1].sum()
+    return FormatModel([(k, v) for k in BASE for v in values[k][: shares[k]]], _counter(table, min(1.0, rows / max(tokens, 1))))
 
 
 def listed(spans) -> str:

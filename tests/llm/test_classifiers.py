@@ -123,3 +123,20 @@ def test_chain_feeds_out_of_fold_predictions():
     assert 5 in first.chosen
     p = chain.score([{5, 11}, {11}])
     assert p["severe"][0] > 0.8 and p["severe"][1] < 0.3
+
+
+def test_all_unlabelled_documents_take_part(spark):
+    """Sums over the stored views are those over arrays of all rows, more than the 6000 of the former pool."""
+    rng = np.random.default_rng(6)
+    n = 9000
+    docs = spark.createDataFrame([(k, f"{'ab cd' if k % 2 else 'XY! Z'} {k}", f"s{k % 5}", "en", 10) for k in range(n)], "doc_id long, text string, source string, lang string, n_chars long")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(100)], "doc_id long, quality int")
+    pool = quality_classifier.Stored(quality_classifier._unlabelled(docs.repartition(3), labels))
+    assert pool.rows == n - 100
+    models = [[rng.normal(size=quality_classifier.TEXT_WIDTH + 1), rng.normal(size=quality_classifier.META_WIDTH + 1)] for _ in range(2)]
+    texts, metas = zip(*((quality_classifier.text_view(r.text), quality_classifier.meta_view(r.source, r.lang, r.n_chars)) for r in docs.where("doc_id >= 100").collect()), strict=True)
+    counts = quality_classifier._counts(models)
+    assert pool.add(counts).tolist() == quality_classifier.Arrays(np.stack(texts), np.stack(metas)).add(counts).tolist()
+    told = quality_classifier.Told(models, [[(0, 0.0, 0, 0.0)] * 2] * 2)
+    newton = quality_classifier._newton(told, models)
+    assert pool.add(newton) == pytest.approx(quality_classifier.Arrays(np.stack(texts), np.stack(metas)).add(newton))

@@ -3,7 +3,9 @@
 One linear model sees the text's content (bytes and repetition), the other what is known of
 the document without reading it (source, language, length).  Both start from labelled
 documents; in each round either model labels the unlabelled documents that it is surest of
-for the other.  At the end both are calibrated on held-out labelled documents and combined.
+for the other.  All unlabelled documents take part: their views are stored, and each
+round is a few distributed passes that count probabilities and add up gradients and Gram
+matrices, which are all that the driver sees.  At the end both are calibrated on held-out labelled documents and combined.
 """
 
 from __future__ import annotations
@@ -16,17 +18,22 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tidy
+from .common import durable, small, tidy
 from .linear import labelled_sample, linear, logistic, sigmoid
 
-#: The most labelled and the most unlabelled documents that are fitted on.
-FIT_ROWS, POOL_ROWS = 10_000, 6_000
-#: Rounds of exchange, the part of the pool that a view labels in each, how sure it must be, and the weight of such a label.
+#: The most labelled documents that are fitted on.
+FIT_ROWS = 10_000
+#: Rounds of exchange, the part of the unlabelled documents that a view labels in each, how sure it must be, and the weight of such a label.
 ROUNDS, GIVEN, SURE, WEIGHT = 3, 0.1, 0.95, 0.3
 FOLDS = 5
 #: A document is rejected when its calibrated probability of being good is lower.
 LIMIT = 0.5
 
+#: Log-odds are counted in bins of this width, an edge of which is SURE, up to END on either side; numbers of a partial sum that travel together.
+WIDTH, END = np.log(SURE / (1 - SURE)) / 256, 3000
+CHUNK = 4096
+STEPS = 12
+
 _SOURCES, _LANGS = 48, 12
 TEXT_WIDTH = 256 + 8
 META_WIDTH = _SOURCES + _LANGS + 4
@@ -79,35 +86,152 @@ class CoTrained:
         return sigmoid(a), sigmoid(b), sigmoid(linear(self.joint, np.column_stack([a, b])))
 
 
-def _exchange(views, y, pool, rounds=ROUNDS):
-    """Both views' weights after the rounds, from labelled rows and the pool's rows."""
-    given = [(np.zeros(0, int), np.zeros(0)) for _ in range(2)]  # what each view has been told of the pool
-    models = [logistic(v, y) for v in views]
-    n = len(pool[0])
+class Told:
+    """What each view of each model labels: log-odds from the cuts on, and a part, by place, of the bins at the cuts."""
+
+    def __init__(self, models, cuts):
+        self.weights = [np.column_stack([m[k] for m in models]) for k in (0, 1)]
+        self.cuts = cuts  # by model and view: bin and part for good, bin and part for bad
+
+    def __call__(self, views, place):
+        """By model and view: the rows that it labels, and their labels."""
+        bins = _bins(self.weights, views)
+        for t, cuts in enumerate(self.cuts):
+            for k, (high, more, low, less) in enumerate(cuts):
+                b = bins[k][:, t]
+                good = (b > high) | ((b == high) & (place < more))
+                rows = np.flatnonzero(good | (b < low) | ((b == low) & (place < less)))
+                yield t, k, rows, good[rows].astype(float)
+
+
+def _bins(weights, views) -> list[np.ndarray]:
+    """Numbers of the bins of each row's log-odds, by view: a column for each model."""
+    return [np.clip(np.floor((v @ w[:-1] + w[-1]) / WIDTH), -END, END - 1).astype(np.int64) + END for v, w in zip(views, weights, strict=True)]
+
+
+def _counts(models):
+    """Of a batch: how many rows are in each bin, by model and view, flat."""
+    weights = [np.column_stack([m[k] for m in models]) for k in (0, 1)]
+
+    def run(views, place):
+        bins = _bins(weights, views)
+        return np.concatenate([np.bincount(bins[k][:, t], minlength=2 * END) for t in range(len(models)) for k in (0, 1)]).astype(float)
+
+    return run
+
+
+def _newton(told: Told, now):
+    """Of a batch: gradients and upper triangles of the curvature from the labels that each model's views are told by the other, flat."""
+
+    def run(views, place):
+        parts = {}
+        for t, k, rows, y in told(views, place):
+            parts[t, 1 - k] = _gradient(views[1 - k][rows], y, np.full(len(rows), WEIGHT), now[t][1 - k])
+        return np.concatenate([np.concatenate([g, h[np.triu_indices(len(g))]]) for _, (g, h) in sorted(parts.items())])
+
+    return run
+
+
+def _gradient(x, y, weight, w):
+    x = np.column_stack([x, np.ones(len(x))]).astype(np.float64)
+    p = sigmoid(x @ w)
+    return x.T @ (weight * (y - p)), (x * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x
+
+
+class Arrays:
+    """Unlabelled rows in memory."""
+
+    def __init__(self, text, meta):
+        self.views, self.rows = (text, meta), len(text)
+        self.place = np.arange(self.rows) * 0.6180339887498949 % 1
+
+    def add(self, function) -> np.ndarray:
+        return function(self.views, self.place)
+
+
+class Stored:
+    """Unlabelled rows in a table of views; function's results are added up by chunks, so that no task and not the driver holds those of all tasks."""
+
+    def __init__(self, table: DataFrame):
+        self.table, self.rows = table, table.count()
+
+    def add(self, function) -> np.ndarray:
+        @tidy
+        def run(batches):
+            total = 0
+            for batch in batches:
+                if batch.num_rows:
+                    views = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.float32).reshape(batch.num_rows, -1) for c in ("text_view", "meta_view")]
+                    total = total + function(views, np.asarray(batch.column("place")))
+            if isinstance(total, np.ndarray):
+                parts = [total[at : at + CHUNK].tobytes() for at in range(0, len(total), CHUNK)]
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], ["chunk", "part"])
+
+        def merge(table):
+            parts = [np.frombuffer(b) for b in table["part"].to_pylist()]
+            return pa.table({"chunk": table["chunk"][:1], "part": pa.array([np.sum(parts, 0).tobytes()], pa.binary())})
+
+        schema = "chunk int, part binary"
+        found = self.table.mapInArrow(run, schema).groupBy("chunk").applyInArrow(merge, schema).collect()
+        return np.concatenate([np.frombuffer(r.part) for r in sorted(found, key=lambda r: r.chunk)])
+
+
+def _cut(counts: np.ndarray, most: int) -> tuple[int, float]:
+    """The bin, from the surest on, at which `most` rows are reached, and the part of it that is taken."""
+    before = np.cumsum(counts) - counts
+    at = int(np.searchsorted(before + counts, most))
+    return (at, (most - before[at]) / counts[at]) if at < len(counts) else (len(counts), 0.0)
+
+
+def _exchanges(views, y, weights, pool, rounds=ROUNDS):
+    """Both views' weights after the rounds, for each weighting of the labelled rows, from these and the pool's rows."""
+    models = [[logistic(v, y, weight=w) for v in views] for w in weights]
+    n = pool.rows
+    sure = END - 256  # bins on either side that are sure
     for _ in range(rounds if n else 0):
-        told = []
-        for k in (0, 1):
-            p = sigmoid(linear(models[k], pool[k]))
-            most = max(1, int(GIVEN * n))
-            good = np.argsort(-p, kind="stable")[: max(1, int(most * y.mean()))]
-            bad = np.argsort(p, kind="stable")[: max(1, int(most * (1 - y.mean())))]
-            good, bad = good[p[good] >= SURE], bad[p[bad] <= 1 - SURE]
-            told.append((np.concatenate([good, bad]), np.concatenate([np.ones(len(good)), np.zeros(len(bad))])))
-        given = [told[1], told[0]]
-        models = [logistic(np.concatenate([views[k], pool[k][given[k][0]]]), np.concatenate([y, given[k][1]]), weight=np.concatenate([np.ones(len(y)), np.full(len(given[k][1]), WEIGHT)])) for k in (0, 1)]
+        counts = pool.add(_counts(models)).reshape(len(models), 2, 2 * END)
+        cuts = []
+        for t, w in enumerate(weights):
+            mean, most = np.average(y, weights=w), max(1, int(GIVEN * n))
+            high, low = max(1, int(most * mean)), max(1, int(most * (1 - mean)))
+            cuts.append([])
+            for c in counts[t]:
+                (a, more), (b, less) = _cut(c[::-1][:sure], high), _cut(c[:sure], low)
+                cuts[t].append((2 * END - 1 - a, more, b, less))
+        told = Told(models, cuts)
+        models = [list(m) for m in models]
+        for _ in range(STEPS):
+            flat, at, far = pool.add(_newton(told, models)), 0, 0.0
+            for t, w in enumerate(weights):
+                for k, v in enumerate(views):
+                    d = v.shape[1] + 1
+                    gain, curve = _gradient(v, y, w, models[t][k])
+                    upper = np.zeros((d, d))
+                    upper[np.triu_indices(d)] = flat[at + d : at + d + d * (d + 1) // 2]
+                    penalty = np.append(np.ones(d - 1), 1e-6)
+                    gain = gain + flat[at : at + d] - penalty * models[t][k]
+                    step = np.linalg.solve(curve + upper + np.triu(upper, 1).T + np.diag(penalty), gain)
+                    models[t][k] = models[t][k] + step
+                    far = max(far, np.abs(step).max())
+                    at += d + d * (d + 1) // 2
+            if far < 1e-6:
+                break
     return models
 
 
-def co_train(text, meta, y, pool_text, pool_meta, rounds: int = ROUNDS, folds: int = FOLDS) -> CoTrained:
-    """y: 1 for good, 0 for bad."""
-    views, pool = (text, meta), (pool_text, pool_meta)
+def _exchange(views, y, pool, rounds=ROUNDS):
+    """Both views' weights after the rounds, from labelled rows and the pool's arrays."""
+    return _exchanges(views, y, [np.ones(len(y))], Arrays(*pool), rounds)[0]
+
+
+def co_train(text, meta, y, pool, rounds: int = ROUNDS, folds: int = FOLDS) -> CoTrained:
+    """y: 1 for good, 0 for bad.  All folds share the passes over the pool."""
+    views = (text, meta)
     fold = np.arange(len(y)) % folds
+    *parts, final = _exchanges(views, y, [*((fold != f).astype(float) for f in range(folds)), np.ones(len(y))], pool, rounds)
     out = np.zeros((len(y), 2))
-    for f in range(folds):
-        fit, held = fold != f, fold == f
-        models = _exchange([v[fit] for v in views], y[fit], pool, rounds)
-        out[held] = np.column_stack([linear(m, v[held]) for m, v in zip(models, views, strict=True)])
-    final = _exchange(views, y, pool, rounds)
+    for f, models in enumerate(parts):
+        out[fold == f] = np.column_stack([linear(m, v[fold == f]) for m, v in zip(models, views, strict=True)])
     return CoTrained(final[0], final[1], logistic(out, y, ridge=1e-3))
 
 
@@ -129,21 +253,32 @@ def _collect(rows: DataFrame):
     return np.asarray(table["label"].combine_chunks())[order], text, meta
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, pool_rows: int = POOL_ROWS) -> CoTrained | None:
-    """Fitted on at most `rows` labelled and `pool_rows` other documents, those whose ids hash lowest; None without labels of both kinds."""
+@tidy
+def _store(batches):
+    for batch in batches:
+        text, meta = _views(batch)
+        lists = [pa.array([row.tobytes() for row in v], pa.binary()) for v in (text, meta)]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("place"), *lists], ["doc_id", "place", "text_view", "meta_view"])
+
+
+def _unlabelled(read: DataFrame, labels: DataFrame) -> DataFrame:
+    """The views of all rows whose doc_id isn't in labels, with their place in [0, 1)."""
+    known = durable(labels.select("doc_id").where("doc_id is not null").distinct())
+    few = small(known)
+    placed = read.withColumn("place", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30)))
+    store = lambda rows: rows.mapInArrow(_store, "doc_id long, place double, text_view binary, meta_view binary")
+    # views are narrower than texts: if the join shuffles, it's these that it moves
+    found = store(placed).join(known, "doc_id", "left_anti") if few is known else store(placed.join(few, "doc_id", "left_anti"))
+    return durable(found.select("place", "text_view", "meta_view"))
+
+
+def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> CoTrained | None:
+    """Fitted on at most `rows` labelled documents, those whose ids hash lowest, and all unlabelled ones; None without labels of both kinds."""
     read = docs.select("doc_id", "text", "source", "lang", "n_chars")
     label, text, meta = _collect(labelled_sample(read, labels, "quality", rows))
     if not len(label) or label.min() == label.max():
         return None
-    known = labels.select("doc_id").where("doc_id is not null")
-    place = F.pmod(F.xxhash64(F.lit("pool"), "doc_id"), F.lit(1 << 30))
-    # three times the rows that are wanted, as some of them may be labelled; with fewer documents, all
-    part = min(1.0, 3.0 * pool_rows / max(read.count(), 1))
-    near = place <= int(part * (1 << 30))
-    ids = read.select("doc_id").where("doc_id is not null").where(near).join(known.where(near), "doc_id", "left_anti").orderBy(place, "doc_id").limit(pool_rows)
-    pool = read.join(F.broadcast(ids.select(F.col("doc_id").alias("_id")).distinct()), F.col("doc_id") == F.col("_id")).withColumn("_label", F.lit(0))
-    _, pool_text, pool_meta = _collect(pool)
-    return co_train(text, meta, (label > 0).astype(float), pool_text, pool_meta)
+    return co_train(text, meta, (label > 0).astype(float), Stored(_unlabelled(read, labels)))
 
 
 def _scorer(model: CoTrained, limit: float):

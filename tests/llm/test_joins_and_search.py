@@ -176,3 +176,32 @@ def test_queries_of_a_block_only(spark):
     docs = spark.createDataFrame([(k, f"w{k} w{k + 1}") for k in range(30)], "doc_id long, text string")
     got = bm25.bm25_top(docs, docs.where(F.col("doc_id") == 3), 3).orderBy("rank").collect()
     assert [r.doc_id for r in got] == [3, 2, 4]
+
+
+def test_shards_lose_no_rows(monkeypatch):
+    """combine_chunks leaves several batches of very long texts; all of them are kept, and shards close by bytes."""
+    batches = [pa.record_batch({"doc_id": [k], "text": ["x" * 1000]}) for k in range(24)]
+    monkeypatch.setattr(bm25, "SHARD_BYTES", 5000)
+    parts = list(bm25._gathered(iter(batches), 8000))
+    assert len(parts) > 1 and [i for b in parts for i in b.column("doc_id").to_pylist()] == list(range(24))
+    monkeypatch.setattr(bm25, "SHARD_BYTES", 1 << 40)
+
+    class Split:
+        """A table whose pieces can't be joined, as one of over 2 GiB."""
+
+        def __init__(self, held):
+            self.held = held
+
+        def combine_chunks(self):
+            return self
+
+        def to_batches(self):
+            return self.held
+
+        @staticmethod
+        def from_batches(held):
+            return Split(held)
+
+    monkeypatch.setattr(bm25.pa, "Table", Split)
+    for rows in (8, 9):  # with and without a rest
+        assert [i for b in bm25._gathered(iter(batches), rows) for i in b.column("doc_id").to_pylist()] == list(range(24))

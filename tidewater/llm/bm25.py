@@ -22,8 +22,8 @@ K1, B, TOP = 1.2, 0.75, 10
 #: Queries that are searched in one pass, documents of a block, and the parts of a shard's documents up to which a term is rare or middling.
 QUERY_BLOCK, DOC_BLOCK = 4096, 64
 TIERS = (0.02, 0.1, 0.3)
-#: Documents of a shard.
-SHARD_ROWS = 8000
+#: Documents of a shard, and bytes at which it is closed with fewer.
+SHARD_ROWS, SHARD_BYTES = 8000, 256 << 20
 
 
 def _postings(column: pa.Array):
@@ -144,16 +144,24 @@ _HIT = "query_id long, doc_id long, score double"
 
 
 def _gathered(batches, rows: int):
-    """Batches joined to ones of about so many rows."""
-    held, n = [], 0
+    """Batches joined to ones of about so many rows or SHARD_BYTES, whichever is first."""
+    held, n, size = [], 0, 0
     for batch in batches:
         held.append(batch)
         n += batch.num_rows
-        if n >= rows:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            held, n = [], 0
+        size += batch.nbytes
+        if n >= rows or size >= SHARD_BYTES:
+            yield from _joined(held)
+            held, n, size = [], 0, 0
     if n:
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        yield from _joined(held)
+
+
+def _joined(held):
+    # a column of over 2 GiB stays in several pieces, each of which is a batch
+    for batch in pa.Table.from_batches(held).combine_chunks().to_batches():
+        if batch.num_rows:
+            yield batch
 
 
 def _search(shared, average: float, k: int):

@@ -53,6 +53,22 @@ def test_pii_extras():
     assert pii.find("Plain prose, nothing else: 12 of 30.") == []
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "value"),
+    [
+        ("Social Security 123-45-6789", "ssn", "123-45-6789"),
+        ("SOCIAL SECURITY Number: 123-45-6789", "ssn", "123-45-6789"),
+        ("Account Number: 12345678", "account", "12345678"),
+        ("Account No. 12345678", "account", "12345678"),
+        ("ACCOUNT NO: 12345678", "account", "12345678"),
+        ("\u0130 Account Nr 12345678", "account", "12345678"),
+    ],
+)
+def test_pii_cues_in_any_case(text, kind, value):
+    assert [(k, text[a:b]) for a, b, k in pii.find(text)] == [(kind, value)]
+    assert value not in pii.redact(text, pii.find(text))
+
+
 def test_pii_table(spark):
     long = "x " * 200_000 + "a@b.co"
     rows = [(1, "é a@b.co 1.2.3.4", 9), (2, None, None), (3, "", 0), (None, "a@b.co", 6), (1, "é a@b.co 1.2.3.4", 9), (5, long, 1)]

@@ -20,7 +20,7 @@ from .common import tidy
 KINDS = ("email", "ip", "card", "phone", "contact", "iban", "ssn", "account")
 BASE = KINDS[:4]
 
-#: Schemes and identifier cues, as written in lower case, capitalised and in upper case.
+#: Schemes and identifier cues; upper and lower case are the same.
 CUES = {"mailto:": "contact", "tel:": "contact", "sip:": "contact", "iban": "iban", "ssn": "ssn", "social security": "ssn", "account": "account", "acct": "account"}
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -29,7 +29,7 @@ _IP = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _NON_DIGIT = re.compile(r"[^0-9]+")
-_LABEL = r"(?: (?:no|nr|number|code))?\.?[ :#=]{0,3}"
+_LABEL = r"(?ai: (?:no|nr|number|code))?\.?[ :#=]{0,3}"
 _AFTER = {
     "contact": re.compile(r"(?:[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+|\+?[0-9][0-9().-]{5,18}[0-9])"),
     "iban": re.compile(_LABEL + r"([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])", re.A),
@@ -38,13 +38,21 @@ _AFTER = {
 }
 
 
+_LOWER = {c: c + 32 for c in range(65, 91)}
+
+
+def _lower(text: str) -> str:
+    """text in lower case with as many characters; no cue depends on letters beyond A to Z."""
+    low = text.lower()
+    return low if len(low) == len(text) else text.translate(_LOWER)
+
+
 def _automaton() -> ahocorasick.Automaton:
     auto = ahocorasick.Automaton()
     for c in "@+0123456789":
         auto.add_word(c, (c if c in "@+" else "0", 1))
     for cue, kind in CUES.items():
-        for form in {cue, cue.capitalize(), cue.upper()}:
-            auto.add_word(form, (kind, len(form)))
+        auto.add_word(cue, (kind, len(cue)))
     auto.make_automaton()
     return auto
 
@@ -71,7 +79,7 @@ def find(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) in code points, by start and then kind as listed in KINDS."""
     found = []
     mail = ip = card = phone = run = 0  # where the next match of each kind, and the next run of digits, may start
-    for at, (what, width) in _AUTO.iter(text):
+    for at, (what, width) in _AUTO.iter(_lower(text)):
         if what == "0":
             if at < run:
                 continue

@@ -155,21 +155,70 @@ def test_search_of_nothing(spark):
     assert [tuple(r)[:3] for r in bm25.bm25_top(one, one).collect()] == [(100, 1, 100)]
 
 
-def test_pruning_skips_documents():
+def shard_of(texts, ids=None, average=41.0):
+    made = bm25.built(pa.array(ids or range(len(texts)), pa.int64()), pa.array(texts, pa.string()))
+    return bm25.Shard({c: v.astype(bm25._KINDS[c]) if c in bm25._KINDS else v for c, v in made.items()}, average)
+
+
+def test_pruning_skips_postings():
     rng = random.Random(1)
-    texts = [" ".join(rng.choice(["the", "of", "and", "to", "in"]) for _ in range(40)) + (f" rare{k % 400}" if k % 2 else "") for k in range(4000)]
-    column = pa.array(texts)
-    terms = bm25._postings(pa.array(["the of and to in rare7"]))[1]
-    shard = bm25.Shard(column, np.sort(terms), 41.0)
-    idf = np.array([6.0 if d < 100 else 0.01 for d in shard.df])
-    scored = []
-    full = shard._full
-    shard._full = lambda docs: (scored.append(len(docs)), full(docs))[1]
-    found, score = shard.search(np.arange(len(terms)), idf, 5)
-    assert len(found) == 5 and scored[-1] < 400
-    shard.weight[:] = idf
-    every = full(np.arange(4000))
-    assert sorted(score) == pytest.approx(sorted(every)[-5:])
+    tongues = [["the", "of", "and", "to", "in"], ["der", "die", "und", "zu", "im"], ["le", "la", "et", "de", "en"], ["el", "los", "y", "que", "un"]]
+    texts = [" ".join(rng.choice(tongues[k % 4]) for _ in range(40)) + (f" rare{k % 400}" if k % 8 < 4 else "") for k in range(4000)]
+    shard = shard_of(texts)
+    asked = bm25._postings(pa.array(["the of and to in rare4"]))[1]
+    terms = np.flatnonzero(np.isin(shard.terms, asked))
+    idf = np.array([6.0 if d < 100 else 0.01 for d in shard.df[terms]])
+    every = shard._add(terms, idf, np.ones(shard.blocks, bool))
+    shard.read = 0
+    found, score = shard.search(terms, idf, 5, 3.0)
+    assert sorted(shard.ids[found]) == [k for k in range(4000) if k % 400 == 4 and k % 4 == 0 and k % 8 < 4]
+    assert shard.read < shard.df[terms].sum() / 2
+    assert score == pytest.approx(every[found])
+    found, score = shard.search(terms, idf, 5)  # without a threshold: at least the best five
+    assert sorted(score)[-5:] == pytest.approx(sorted(every)[-5:])
+
+
+@pytest.mark.parametrize("least", [0.0, 0.3, 1.0])
+def test_shard_finds_what_brute_force_finds(least):
+    rng = random.Random(3)
+    texts = [*corpus(rng, 300), None, "", "\u00e9 x" * 50_000]
+    ids = [*range(300), 300, 301, 302]
+    shard = shard_of(texts, ids, 60.0)
+    for q in range(0, 300, 7):
+        asked = bm25._postings(pa.array([texts[q]], pa.string()))[1]
+        terms = np.flatnonzero(np.isin(shard.terms, asked))
+        idf = np.log1p((shard.docs - shard.df[terms] + 0.5) / (shard.df[terms] + 0.5))
+        every = shard._add(terms, idf, np.ones(shard.blocks, bool))
+        limit = least * np.sort(every)[-4]
+        found, score = shard.search(terms, idf, 4, limit)
+        assert score == pytest.approx(every[found])
+        want = np.sort(every[every > 0])[-4:]
+        want = want[want >= limit * (1 + 1e-12)]
+        assert np.sort(score)[-len(want) :] == pytest.approx(want) if len(want) else True
+
+
+def test_ties_and_long_texts(spark, monkeypatch):
+    """Equal texts in many shards: the smaller ids come first, however shards and waves are cut."""
+    monkeypatch.setattr(bm25, "WAVE", 2)
+    long = " ".join(f"w{k % 5000}" for k in range(60_000))
+    rows = [(k, "one text that all share, word for word") for k in range(40)] + [(k, f"other {k} words") for k in range(40, 160)] + [(200, long)]
+    docs = spark.createDataFrame([(d, t, "s") for d, t in rows], "doc_id long, text string, score string").repartition(6)
+    got = bm25.bm25_top(docs, docs.where("doc_id in (0, 31, 200)"), 10).collect()
+    for q in (0, 31):
+        assert [r.doc_id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])] == list(range(10))
+    assert [(r.doc_id, r["rank"]) for r in got if r.query_id == 200][:1] == [(200, 1)]
+
+
+def test_waves_bound_what_shards_emit(spark, monkeypatch):
+    """Rows that shards emit don't grow with the number of shards."""
+    rng = random.Random(5)
+    rows = [(k, " ".join(f"w{rng.randint(0, 400)}" for _ in range(40))) for k in range(2000)]
+    emitted, add = [], common.Scratch.add
+    monkeypatch.setattr(common.Scratch, "add", lambda self, df, part: (add(self, df, part), emitted.append(self.read().count()))[0])
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(64)
+    got = bm25.bm25_top(docs, docs.where("doc_id % 200 = 0"), 3)
+    assert got.count() == 30 and len(emitted) == 3
+    assert emitted[-1] < 1000  # the best 3 of each of 64 shards would be 1920
 
 
 def test_queries_of_a_block_only(spark):

@@ -1,29 +1,44 @@
-"""Exact top-k BM25 search over shards with block-max pruning.
-
-Document frequencies and lengths are counted over all rows first.  A shard is a batch of
-rows with an inverted index of the queries' terms; postings of a term are cut into blocks of
-documents, and each block keeps its largest impact.  A query goes through its terms from
-rare to common.  Once the k-th best score so far is known, documents whose score can't reach
-it, even with the block maxima of all terms to come, are left out; the rest are scored in
-full from the shard's forward index.  Shards use the same global statistics, so merging
-their best k is exact.
+"""Exact top-k BM25 search: block-max WAND over persisted shards, merged with global statistics.
+
+Index.  One scan cuts the rows into shards and writes an inverted index of each to the
+shared folder: sorted terms, their postings in document order, document lengths.  Documents
+of a shard are renumbered, those with the same commonest term together and by length, so
+that blocks of neighbours are alike.  Document frequencies and the average length come from
+the index.
+
+Search.  A term's postings are cut into blocks of DOC_BLOCK neighbouring documents, each with
+its largest impact.  A query's pivots are the blocks in which the block maxima of its terms
+add up to the threshold; the cursors of all terms skip to them, and no document elsewhere is
+scored.  In the pivots the rarer lists are read first; the common ones follow only to the
+blocks of documents that can still reach the threshold with the block maxima of these terms.
+All pivots of a shard are found and read at once, in array operations.
+
+Waves.  The first wave searches a few shards; each further one eight times as many, with the
+k-th best score so far as the starting threshold of each query.  So a wave's tasks emit about
+8 k rows a query, however many shards it has, and the rows grow as the queries.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, signed, text_chunks, word_hashes
+from .common import Scratch, durable, mix, signed, text_chunks, tidy, word_hashes
 
 K1, B, TOP = 1.2, 0.75, 10
-#: Queries that are searched in one pass, documents of a block, and the parts of a shard's documents up to which a term is rare or middling.
-QUERY_BLOCK, DOC_BLOCK = 4096, 64
-TIERS = (0.02, 0.1, 0.3)
+#: Queries, and distinct terms of all of them, about, that are searched in one pass.
+QUERY_BLOCK, TERM_BLOCK = 2048, 2_000_000
+#: Documents of a block of postings; the part of a shard's documents up to which a term's list drives pivots; words by which documents are grouped.
+DOC_BLOCK, RARE, LEADS = 64, 0.3, 64
 #: Documents of a shard, and bytes at which it is closed with fewer.
-SHARD_ROWS, SHARD_BYTES = 8000, 256 << 20
+SHARD_ROWS, SHARD_BYTES = 8000, 64 << 20
+#: Each wave has so many times the shards of all before it, about.
+WAVE = 8
 
 
 def _postings(column: pa.Array):
@@ -46,14 +61,6 @@ def _postings(column: pa.Array):
     return row[at], term[at], np.diff(np.append(at, len(row))), lengths
 
 
-def _count(batches):
-    for batch in _gathered(batches, SHARD_ROWS):
-        _, term, _, lengths = _postings(batch.column("text"))
-        terms, df = np.unique(term, return_counts=True)
-        # the row without a term: documents and words
-        yield from pa.table({"term": pa.concat_arrays([pa.array([None], pa.int64()), pa.array(signed(terms))]), "df": np.append(len(lengths), df).astype(np.int64), "words": np.append(lengths.sum(), np.zeros(len(terms), np.int64))}).to_batches(50_000)
-
-
 def _query_terms(batches):
     for batch in batches:
         row, term, _, _ = _postings(batch.column("text"))
@@ -66,80 +73,165 @@ def _slices(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.repeat(starts - np.cumsum(runs) + runs, runs) + np.arange(runs.sum())
 
 
+# ---------------------------------------------------------------- the index
+
+_INDEX = "place double, docs long, words long, known long, ids binary, lengths binary, terms binary, ends binary, rows binary, counts binary"
+_KINDS = {"ids": np.int64, "lengths": np.int64, "terms": np.uint64, "ends": np.int64, "rows": np.uint32, "counts": np.uint32}
+
+
+def built(ids: pa.Array, texts: pa.Array) -> dict:
+    """A shard: `known` documents with an id come first; all of them count in the frequencies."""
+    words, rows, lengths = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], np.zeros(len(texts), np.int64)
+    for first, offsets, data in text_chunks(texts):
+        h, ends = word_hashes(offsets, data)
+        n = np.diff(ends)
+        lengths[first : first + len(n)] = n
+        words.append(h)
+        rows.append(np.repeat(np.arange(first, first + len(n)), n))
+    row, n = np.concatenate(rows), len(lengths)
+    terms, at = np.unique(np.concatenate(words), return_inverse=True)
+    # documents are grouped by the commonest of their words that is among the LEADS commonest here
+    times = np.bincount(at, minlength=len(terms))
+    rank = np.zeros(len(terms), np.uint8)
+    common = np.argsort(times, kind="stable")[-LEADS:]
+    rank[common] = np.arange(1, len(common) + 1)
+    some = np.flatnonzero(rank[at])
+    some = some[np.argsort(rank[at[some]], kind="stable")]
+    lead = np.zeros(n, np.int64)
+    lead[row[some]] = rank[at[some]]  # of equal places the last, which is the commonest, stays
+    nameless = np.asarray(ids.is_null())
+    order = np.lexsort((lengths, lead, nameless))
+    place = np.empty(n, np.int64)
+    place[order] = np.arange(n)
+    key = np.sort(at * n + place[row])
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    first = np.flatnonzero(new)
+    return {
+        "docs": n,
+        "words": int(lengths.sum()),
+        "known": int(n - nameless.sum()),
+        "ids": np.asarray(ids.fill_null(0))[order].astype(np.int64),
+        "lengths": lengths[order],
+        "terms": terms,
+        "ends": np.searchsorted(key[first] // max(n, 1), np.arange(len(terms) + 1)),
+        "rows": key[first] % max(n, 1),
+        "counts": np.diff(np.append(first, len(key))),
+    }
+
+
+@tidy
+def _index(batches):
+    part = TaskContext.get().partitionId()
+    for k, batch in enumerate(_gathered(batches, SHARD_ROWS)):
+        shard = built(batch.column("doc_id"), batch.column("text"))
+        at = int(mix(np.array([(part << 24) + k + 1], np.uint64))[0]) / 2.0**64
+        row = {"place": at} | {c: v.astype(_KINDS[c]).tobytes() if c in _KINDS else v for c, v in shard.items()}
+        yield pa.RecordBatch.from_arrays([pa.array([v]) for v in row.values()], list(row))
+
+
+def _read(batch: pa.RecordBatch, columns):
+    """The shards of a batch, one at a time."""
+    for k in range(batch.num_rows):
+        yield {c: np.frombuffer(batch.column(c)[k].as_buffer(), _KINDS[c]) if c in _KINDS else batch.column(c)[k].as_py() for c in columns}
+
+
+@tidy
+def _frequencies(batches):
+    for batch in batches:
+        for shard in _read(batch, ("terms", "ends")):
+            yield from pa.table({"term": signed(shard["terms"]), "df": np.diff(shard["ends"])}).to_batches(50_000)
+
+
 class Shard:
-    """Index of a batch of documents over a sorted vocabulary."""
-
-    def __init__(self, column: pa.Array, vocabulary: np.ndarray, average: float):
-        row, term, tf, lengths = _postings(column)
-        at = np.minimum(np.searchsorted(vocabulary, term), max(len(vocabulary) - 1, 0))
-        hit = vocabulary[at] == term if len(vocabulary) else np.zeros(len(term), bool)
-        row, term, tf = row[hit], at[hit], tf[hit].astype(np.float64)
-        self.docs = len(lengths)
-        norm = K1 * (1 - B + B * lengths / average)
-        impact = tf * (K1 + 1) / (tf + norm[row])
-        self.f_term, self.f_impact = term, impact  # by document, terms ascending
-        self.f_ends = np.searchsorted(row, np.arange(self.docs + 1)).tolist()
-        order = np.argsort(term, kind="stable")
-        self.row, self.impact = row[order], impact[order]
-        self.ends = np.searchsorted(term[order], np.arange(len(vocabulary) + 1))
+    """A shard's postings with their impacts, and the block maxima of each term."""
+
+    def __init__(self, shard: dict, average: float):
+        self.ids, self.known, self.docs, self.terms = shard["ids"], shard["known"], shard["docs"], shard["terms"]
+        self.row, self.ends = shard["rows"].astype(np.int64), shard["ends"]
         self.df = np.diff(self.ends)
+        tf = shard["counts"].astype(np.float64)
+        norm = K1 * (1 - B + B * shard["lengths"] / average)
+        self.impact = tf * (K1 + 1) / (tf + norm[self.row])
+        self.of = np.arange(self.docs) // DOC_BLOCK
         self.blocks = -(-self.docs // DOC_BLOCK)
-        cell = term[order] * max(self.blocks, 1) + self.row // DOC_BLOCK
+        cell = np.repeat(np.arange(len(self.df)), self.df) * max(self.blocks, 1) + self.row // DOC_BLOCK
         new = np.ones(len(cell), bool)
         new[1:] = cell[1:] != cell[:-1]
         first = np.flatnonzero(new)
-        self.b_max = np.maximum.reduceat(self.impact, first) if len(first) else np.empty(0)
+        #: Of each block of a term's postings: its number, largest impact, first posting; and each term's first block.
         self.b_block = cell[first] % max(self.blocks, 1)
-        self.b_ends = np.searchsorted(cell[first], np.arange(len(vocabulary) + 1) * max(self.blocks, 1))
-        self.weight = np.zeros(len(vocabulary))
-
-    def _add(self, acc: np.ndarray, terms: np.ndarray, idf: np.ndarray) -> None:
-        a, b = self.ends[terms], self.ends[terms + 1]
-        at = _slices(a, b)
-        acc += np.bincount(self.row[at], np.repeat(idf, b - a) * self.impact[at], self.docs)
+        self.b_max = np.maximum.reduceat(self.impact, first) if len(first) else np.empty(0)
+        self.b_at = np.append(first, len(cell))
+        self.b_ends = np.searchsorted(first, self.ends)
+        self.read = 0  # postings that searches have read
 
-    def _bound(self, terms: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    def _bounds(self, terms: np.ndarray, idf: np.ndarray) -> np.ndarray:
+        """The sum of the terms' block maxima in each block; in the last digits never below a sum of impacts."""
+        a, b = self.b_ends[terms], self.b_ends[terms + 1]
+        runs = [slice(x, y) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+        if not runs:
+            return np.zeros(self.blocks)
+        return np.bincount(np.concatenate([self.b_block[r] for r in runs]), np.repeat(idf * (1 + 1e-9), b - a) * np.concatenate([self.b_max[r] for r in runs]), self.blocks)
+
+    def _add(self, terms: np.ndarray, idf: np.ndarray, live: np.ndarray) -> np.ndarray:
+        """The sum by document over the terms' postings in live blocks (and maybe others).
+
+        Terms are added in one order, so equal texts have equal sums.
+        """
+        if live.sum() * 4 > self.blocks:  # whole lists are read faster than so many pieces
+            a, b = self.ends[terms], self.ends[terms + 1]
+            runs = [slice(x, y) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+            self.read += int((b - a).sum())
+            if not runs:
+                return np.zeros(self.docs)
+            return np.bincount(np.concatenate([self.row[r] for r in runs]), np.repeat(idf, b - a) * np.concatenate([self.impact[r] for r in runs]), self.docs)
         a, b = self.b_ends[terms], self.b_ends[terms + 1]
-        at = _slices(a, b)
-        return np.bincount(self.b_block[at], np.repeat(idf, b - a) * self.b_max[at], self.blocks)
-
-    def _full(self, docs: np.ndarray) -> np.ndarray:
-        """Scores of docs with the weights that are set.  Equal texts have equal sums."""
-        out, ends = np.zeros(len(docs)), self.f_ends
-        for k, d in enumerate(docs.tolist()):
-            a, b = ends[d], ends[d + 1]
-            out[k] = (self.weight[self.f_term[a:b]] * self.f_impact[a:b]).sum()
-        return out
-
-    def search(self, terms: np.ndarray, idf: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The documents that may be among the best k, with their scores; those tied with the k-th too."""
-        here = self.df[terms] > 0
-        terms, idf = terms[here], idf[here]
+        cursor = _slices(a, b)
+        hit = live[self.b_block[cursor]]
+        cursor, weight = cursor[hit], np.repeat(idf, b - a)[hit]
+        start, end = self.b_at[cursor], self.b_at[cursor + 1]
+        at = _slices(start, end)
+        self.read += len(at)
+        return np.bincount(self.row[at], np.repeat(weight, end - start) * self.impact[at], self.docs)
+
+    def _exact(self, docs: np.ndarray, terms: np.ndarray, idf: np.ndarray) -> np.ndarray:
+        live = np.zeros(self.blocks, bool)
+        live[self.of[docs]] = True
+        return self._add(terms, idf, live)[docs]
+
+    def search(self, terms: np.ndarray, idf: np.ndarray, k: int, least: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """Documents that may be among the best k, and their scores; those tied with the k-th too.
+
+        terms: numbers of the query's terms here, ascending.  Documents below `least` are left out.
+        """
+        none = np.empty(0, np.int64), np.empty(0)
         if not len(terms):
-            return np.empty(0, np.int64), np.empty(0)
-        self.weight[terms] = idf
-        tier = np.searchsorted(np.array(TIERS) * self.docs, self.df[terms])
-        acc, least = np.zeros(self.docs), 0.0
-        found = np.arange(self.docs)
-        for t in range(len(TIERS)):
-            self._add(acc, terms[tier == t], idf[tier == t])
-            some = np.argpartition(-acc, k - 1)[:k] if self.docs > k else np.arange(self.docs)
-            score = self._full(some)
-            if len(some) >= k:
-                least = max(least, np.partition(score, len(score) - k)[len(score) - k])
-            rest = self._bound(terms[tier > t], idf[tier > t])
-            reach = acc + np.repeat(rest, DOC_BLOCK)[: self.docs]
-            found = np.flatnonzero((reach >= least * (1 - 1e-9)) & (reach > 0))
-            if len(found) <= 8 * k:
-                break
-        score = self._full(found)
-        self.weight[terms] = 0
-        keep = score > 0
-        if keep.sum() > k:
-            keep &= score >= np.partition(score, len(score) - k)[len(score) - k]
+            return none
+        rare = self.df[terms] <= RARE * self.docs
+        rest = self._bounds(terms[~rare], idf[~rare])
+        pivots = rest + self._bounds(terms[rare], idf[rare]) >= least
+        if not pivots.any():
+            return none
+        # rare lists are read in the pivots; the common ones only follow to documents that can still reach the threshold
+        reach = self._add(terms[rare], idf[rare], pivots) + rest[self.of]
+        reach[self.known :] = 0
+        reach[~pivots[self.of]] = 0
+        if least <= 0 and self.known > k:
+            top = np.argpartition(-reach, k - 1)[:k]
+            top = top[reach[top] > 0]
+            if len(top) == k:
+                least = self._exact(top, terms, idf).min()
+        found = np.flatnonzero((reach >= least) & (reach > 0))
+        if not len(found):
+            return none
+        score = self._exact(found, terms, idf)
+        keep = (score >= least) & (score > 0)
         return found[keep], score[keep]
 
 
+# ---------------------------------------------------------------- over tables
+
 _HIT = "query_id long, doc_id long, score double"
 
 
@@ -164,25 +256,45 @@ def _joined(held):
             yield batch
 
 
+def _best(ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The best k; of tied ones those with the smaller ids."""
+    best = np.lexsort((ids, -score))[:k]
+    return ids[best], score[best]
+
+
 def _search(shared, average: float, k: int):
+    @tidy
     def run(batches):
-        queries, ends, term, idf, vocabulary = shared.value
-        for batch in _gathered(batches, SHARD_ROWS):
-            shard = Shard(batch.column("text"), vocabulary, average)
-            ids = np.asarray(batch.column("doc_id"))
-            hits = []
-            for q in range(len(queries)):
-                docs, score = shard.search(term[ends[q] : ends[q + 1]], idf[ends[q] : ends[q + 1]], k)
-                if len(docs) > k:  # ties at the end: the smaller ids stay
-                    best = np.lexsort((ids[docs], -score))[:k]
-                    docs, score = docs[best], score[best]
-                hits.append((np.full(len(docs), queries[q]), ids[docs], score))
-            if hits:
-                yield from pa.table(dict(zip(("query_id", "doc_id", "score"), map(np.concatenate, zip(*hits, strict=True)), strict=True))).to_batches(50_000)
+        queries, ends, term, idf, vocabulary, floors = shared.value
+        held = [(np.empty(0, np.int64), np.empty(0))] * len(queries)
+        for batch in batches:
+            for content in _read(batch, ("docs", "known", *_KINDS)):
+                shard = Shard(content, average)
+                if not len(shard.terms):
+                    continue
+                at = np.minimum(np.searchsorted(shard.terms, vocabulary), len(shard.terms) - 1)
+                here = shard.terms[at] == vocabulary
+                for q in range(len(queries)):
+                    own = term[ends[q] : ends[q + 1]]
+                    own, weight = own[here[own]], idf[ends[q] : ends[q + 1]][here[own]]
+                    ids, score = held[q]
+                    least = max(floors[q], score[-1] if len(score) == k else 0.0)
+                    docs, more = shard.search(at[own], weight, k, least)
+                    if len(docs):
+                        held[q] = _best(np.append(ids, shard.ids[docs]), np.append(score, more), k)
+        sizes = [len(ids) for ids, _ in held]
+        if sum(sizes):
+            ids, score = (np.concatenate([h[c] for h in held]) for c in (0, 1))
+            yield from pa.table({"query_id": np.repeat(queries, sizes), "doc_id": ids, "score": score}).to_batches(50_000)
 
     return run
 
 
+def _ranked(hits: DataFrame, k: int) -> DataFrame:
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+    return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
+
+
 def bm25_top(docs: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
     """(query_id, rank, doc_id, score): the best k rows of docs for each row of queries.
 
@@ -190,31 +302,38 @@ def bm25_top(docs: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
     ln(1 + (N - df + 0.5) / (df + 0.5)).  Ties go to the smaller doc_id.  Rows of docs with
     a null doc_id count in the statistics but aren't found; null and wordless texts match
     nothing, and such a query, or one with a null id, has no result.  Rows of docs that
-    repeat are found as often as they are there; a repeated query row counts once if its
-    text is the same.  Queries are searched in blocks of QUERY_BLOCK, each in one pass.
+    repeat are found as often as they are there; repeated query rows count once, and those
+    of one id with different texts are one query of all their words.  Empty tables give no
+    rows.  Texts are read whole: a shard closes by bytes, so a very long one may be a shard
+    of its own.  Only doc_id and text are read.  Queries are searched in blocks of about
+    QUERY_BLOCK queries and TERM_BLOCK terms, each over all shards.
     """
     spark = docs.sparkSession
-    counted = durable(docs.select("text").mapInArrow(_count, "term long, df long, words long").groupBy("term").agg(F.sum("df").alias("df"), F.sum("words").alias("words")))
-    whole = counted.where("term is null").first()
+    index = durable(docs.select("doc_id", "text").mapInArrow(_index, _INDEX))
+    whole = index.agg(F.count("*").alias("shards"), F.sum("docs").alias("n"), F.sum("words").alias("words")).first()
+    n, average = whole.n or 0, max((whole.words or 0) / max(whole.n or 0, 1), 1.0)
+    df = index.select("terms", "ends").mapInArrow(_frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
     asked = queries.where("doc_id is not null").select("doc_id", "text").mapInArrow(_query_terms, "query_id long, term long").distinct()
-    n, words = (whole.df, whole.words) if whole else (0, 0)
-    weighted = asked.join(counted.where("term is not null").select("term", "df"), "term").select("query_id", "term", F.log1p((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    total = queries.where("doc_id is not null").count()
-    blocks = max(1, -(-total // QUERY_BLOCK))
-    weighted = durable(weighted.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))))
-    average = max(words / n, 1.0) if n else 1.0
-    found = []
+    weighted = asked.join(df, "term").select("query_id", "term", F.log1p((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    weighted = durable(weighted)
+    size = weighted.agg(F.count_distinct("query_id").alias("queries"), F.count("*").alias("terms")).first()
+    blocks = max(1, -(-size.queries // QUERY_BLOCK), -(-size.terms // TERM_BLOCK))
+    waves = int(math.log(max(whole.shards, 1), WAVE) + 1e-9)
+    hits = Scratch(spark, _HIT)
     for block in range(blocks):
-        # a block's terms: bounded by QUERY_BLOCK and the lengths of its texts
-        table = weighted.where(F.col("block") == block).select("query_id", "term", "idf").toArrow()
+        table = weighted.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).toArrow()  # bounded by TERM_BLOCK, about
         ids, term, idf = (np.asarray(table[c].combine_chunks()) for c in ("query_id", "term", "idf"))
         vocabulary, term = np.unique(term.view(np.uint64), return_inverse=True)
         order = np.lexsort((term, ids))
         asked_ids, starts = np.unique(ids[order], return_index=True)
-        shared = spark.sparkContext.broadcast((asked_ids, np.append(starts, len(ids)), term[order], idf[order], vocabulary))
-        found.append(docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(_search(shared, average, k), _HIT))
-    hits = found[0]
-    for more in found[1:]:
-        hits = hits.unionByName(more)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
+        floors = np.zeros(len(asked_ids))
+        for wave in range(waves + 1):
+            low, high = WAVE ** float(wave - 1 - waves) if wave else 0.0, WAVE ** float(wave - waves)
+            shared = spark.sparkContext.broadcast((asked_ids, np.append(starts, len(ids)), term[order], idf[order], vocabulary, floors))
+            part = index.where((F.col("place") >= low) & (F.col("place") < high)) if high < 1 else index.where(F.col("place") >= low)
+            hits.add(part.drop("place", "words").mapInArrow(_search(shared, average, k), _HIT), f"block={block}")
+            if wave < waves:
+                known = _ranked(hits.read(f"block={block}"), k).where(F.col("rank") == k).select("query_id", "score").toArrow()  # a row a query of the block
+                floors[np.searchsorted(asked_ids, np.asarray(known["query_id"].combine_chunks()))] = np.asarray(known["score"].combine_chunks())
+            shared.destroy()
+    return _ranked(hits.read(), k)

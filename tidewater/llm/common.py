@@ -10,11 +10,15 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows that a side may have to be broadcast; a larger side is joined by a shuffle.
 BROADCAST_ROWS = 500_000
+#: Bytes that it may have; its rows are counted and measured first.
+BROADCAST_BYTES = 64 << 20
+#: Rows of one key that a task of a shuffle join may get.
+HOT = 100_000
 
 
 #: Rows that Spark hands to a Python worker at a time; with long texts they are megabytes.
@@ -32,24 +36,57 @@ _written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one where spark.checkpoint.dir is unset (tests)."""
+    """The cluster's shared folder, spark.checkpoint.dir.
+
+    Where it is unset: a temporary folder if driver and executors are one process (tests),
+    else the warehouse, which a cluster shares.
+    """
     known = spark.conf.get("spark.checkpoint.dir", None)
     if known is None:
-        known = "file://" + tempfile.mkdtemp(prefix="tidewater-")
+        local = spark.sparkContext.master.split("[")[0] == "local"
+        known = "file://" + tempfile.mkdtemp(prefix="tidewater-") if local else spark.conf.get("spark.sql.warehouse.dir")
         spark.conf.set("spark.checkpoint.dir", known)
     return known
 
 
+class Scratch:
+    """A folder in the shared folder that tables of one schema are added to."""
+
+    def __init__(self, spark: SparkSession, schema: str):
+        self.spark, self.schema = spark, schema
+        self.path = f"{shared_dir(spark)}/tidewater/{uuid.uuid4().hex}"
+        if not _written:
+            atexit.register(_clean, spark)
+        _written.append(self.path)
+
+    def add(self, df: DataFrame, part: str = "part") -> None:
+        df.write.mode("append").parquet(f"{self.path}/{part}")
+
+    def read(self, part: str = "*") -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{part}")
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: lineage ends here."""
     spark = df.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    path = f"{shared_dir(spark)}/tidewater/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    if not _written:
-        atexit.register(_clean, spark)
-    _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    store = Scratch(spark, "")
+    df.write.parquet(store.path)
+    out = spark.read.schema(df.schema).parquet(store.path)
+    out._stored = store.path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Remove durable tables that no plan reads any more."""
+    for df in tables:
+        _remove(df.sparkSession, df._stored)
+        _written.remove(df._stored)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def _clean(spark: SparkSession) -> None:
@@ -59,19 +96,24 @@ def _clean(spark: SparkSession) -> None:
         return
     for path in _written:
         try:
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            _remove(spark, path)
         except Exception:  # the session ended first; the folder is the cluster's to clear
             return
 
 
+def fits(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether df has at most so many rows and bytes.  df should be cheap to read (a durable table)."""
+    wide = sum((F.coalesce(F.octet_length(c) if t == "string" else F.length(c) if t == "binary" else 16 * F.size(c) if t.startswith("array") else F.lit(0), F.lit(0)) for c, t in df.dtypes), F.lit(16 * len(df.columns)))
+    found = df.limit(rows + 1).agg(F.count("*").alias("n"), F.sum(wide).alias("bytes")).first()
+    return found.n <= rows and (found.bytes or 0) <= size
+
+
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df marked for broadcast if a count shows at most `limit` rows, else df as it is.
+    """df marked for broadcast if it `fits`, else df as it is.
 
-    df should be cheap to count (a durable table); a join with the unmarked df is a
-    shuffle join, whose hot keys adaptive execution splits.
+    A join with the unmarked df is a shuffle join, whose hot keys adaptive execution splits.
     """
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    return F.broadcast(df) if fits(df, limit) else df
 
 
 # ---------------------------------------------------------------- memory of Python workers
@@ -99,14 +141,33 @@ def tidy(function):
 # ---------------------------------------------------------------- connected components
 
 
+def join_hot(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """Inner join of rows with a durable table of one row a key: `n` is how many of rows have that key.
+
+    A small table is broadcast.  Otherwise only the hot keys are, of which there can't be
+    more than len(rows) / HOT; no other key brings a task more than HOT rows.
+    """
+    if fits(table):
+        return rows.join(F.broadcast(table.drop("n")), key)
+    hot = F.broadcast(table.where(F.col("n") > HOT).drop("n"))
+    cold = table.where(F.col("n") <= HOT).drop("n")
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))
+
+
+def _with_least(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """pairs (a, b) with m, the least b of each a; combined before the shuffle.  Also the table of m."""
+    least = durable(pairs.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")))
+    return join_hot(pairs, least, "a"), least
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node reachable over edges (a, b), both long.
 
-    Alternating large-star and small-star steps; each round is written to the shared folder
-    and shuffles three times.  Every step emits at most as many edges as it reads.  Windows
-    over a node's edges spill.  Nodes without an edge don't appear.  Empty in, empty out.
+    Alternating large-star and small-star steps, each written to the shared folder.  Minima
+    are combined before they are shuffled, and a hub's edges stay where they are.  Every step
+    emits at most as many edges as it reads.  Nodes without an edge don't appear.  Repeated
+    edges count once; an edge with a null is none.  Empty in, empty out.
     """
-    by = Window.partitionBy("a")
     now = durable(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
     for _ in range(rounds):
@@ -116,11 +177,14 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         before = state
         # large star: every larger neighbour is linked to the smallest of the closed neighbourhood
         both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        big = both.withColumn("m", F.least(F.min("b").over(by), "a")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        near, least = _with_least(both)
+        big = durable(near.where("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b")))
+        forget(now, least)
         # small star: the smaller neighbours and the node itself are linked to the smallest
-        low = big.withColumn("m", F.min("b").over(by))
+        low, least = _with_least(big)
         rest = low.select(F.explode(F.when(F.col("b") == F.col("m"), F.array("a")).otherwise(F.array("a", "b"))).alias("a"), F.col("m").alias("b"))
         now = durable(rest.where("a <> b").distinct())
+        forget(big, least)
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     pairs = now.select(F.col("a").alias("node"), F.col("b").alias("component"))

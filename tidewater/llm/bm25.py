@@ -36,29 +36,28 @@ QUERY_BLOCK, TERM_BLOCK = 2048, 2_000_000
 #: Documents of a block of postings; the part of a shard's documents up to which a term's list drives pivots; words by which documents are grouped.
 DOC_BLOCK, RARE, LEADS = 64, 0.3, 64
 #: Documents of a shard, and bytes at which it is closed with fewer.
-SHARD_ROWS, SHARD_BYTES = 8000, 64 << 20
+SHARD_ROWS, SHARD_BYTES = 8000, 48 << 20
 #: Each wave has so many times the shards of all before it, about.
 WAVE = 8
 
 
 def _postings(column: pa.Array):
     """Rows, terms and counts of the distinct terms of each row, by row and term, and the rows' lengths."""
-    rows, terms, lengths = [], [], np.zeros(len(column), np.int64)
+    rows, terms, counts, lengths = [np.empty(0, np.int32)], [np.empty(0, np.uint64)], [np.empty(0, np.int32)], np.zeros(len(column), np.int64)
     for first, offsets, data in text_chunks(column):
         h, ends = word_hashes(offsets, data)
         n = np.diff(ends)
         lengths[first : first + len(n)] = n
-        row = np.repeat(np.arange(first, first + len(n)), n)
-        order = np.lexsort((h, row))
-        rows.append(row[order])
-        terms.append(h[order])
-    if not rows:
-        return (np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64), lengths)
-    row, term = np.concatenate(rows), np.concatenate(terms)
-    new = np.ones(len(row), bool)
-    new[1:] = (row[1:] != row[:-1]) | (term[1:] != term[:-1])
-    at = np.flatnonzero(new)
-    return row[at], term[at], np.diff(np.append(at, len(row))), lengths
+        if not len(h):
+            continue
+        own, at = np.unique(h, return_inverse=True)
+        key = np.sort(np.repeat(np.arange(len(n)), n) * len(own) + at)
+        start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        row, at = np.divmod(key[start], len(own))
+        rows.append((row + first).astype(np.int32))
+        terms.append(own[at])
+        counts.append(np.diff(np.append(start, len(key))).astype(np.int32))
+    return np.concatenate(rows), np.concatenate(terms), np.concatenate(counts), lengths
 
 
 def _query_terms(batches):
@@ -81,19 +80,13 @@ _KINDS = {"ids": np.int64, "lengths": np.int64, "terms": np.uint64, "ends": np.i
 
 def built(ids: pa.Array, texts: pa.Array) -> dict:
     """A shard: `known` documents with an id come first; all of them count in the frequencies."""
-    words, rows, lengths = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], np.zeros(len(texts), np.int64)
-    for first, offsets, data in text_chunks(texts):
-        h, ends = word_hashes(offsets, data)
-        n = np.diff(ends)
-        lengths[first : first + len(n)] = n
-        words.append(h)
-        rows.append(np.repeat(np.arange(first, first + len(n)), n))
-    row, n = np.concatenate(rows), len(lengths)
-    terms, at = np.unique(np.concatenate(words), return_inverse=True)
+    row, term, tf, lengths = _postings(texts)
+    n = len(lengths)
+    terms, at = np.unique(term, return_inverse=True)
+    del term
     # documents are grouped by the commonest of their words that is among the LEADS commonest here
-    times = np.bincount(at, minlength=len(terms))
     rank = np.zeros(len(terms), np.uint8)
-    common = np.argsort(times, kind="stable")[-LEADS:]
+    common = np.argsort(np.bincount(at, minlength=len(terms)), kind="stable")[-LEADS:]
     rank[common] = np.arange(1, len(common) + 1)
     some = np.flatnonzero(rank[at])
     some = some[np.argsort(rank[at[some]], kind="stable")]
@@ -103,10 +96,7 @@ def built(ids: pa.Array, texts: pa.Array) -> dict:
     order = np.lexsort((lengths, lead, nameless))
     place = np.empty(n, np.int64)
     place[order] = np.arange(n)
-    key = np.sort(at * n + place[row])
-    new = np.ones(len(key), bool)
-    new[1:] = key[1:] != key[:-1]
-    first = np.flatnonzero(new)
+    by = np.argsort(at * n + place[row])
     return {
         "docs": n,
         "words": int(lengths.sum()),
@@ -114,9 +104,9 @@ def built(ids: pa.Array, texts: pa.Array) -> dict:
         "ids": np.asarray(ids.fill_null(0))[order].astype(np.int64),
         "lengths": lengths[order],
         "terms": terms,
-        "ends": np.searchsorted(key[first] // max(n, 1), np.arange(len(terms) + 1)),
-        "rows": key[first] % max(n, 1),
-        "counts": np.diff(np.append(first, len(key))),
+        "ends": np.append(0, np.cumsum(np.bincount(at, minlength=len(terms)))),
+        "rows": place[row[by]],
+        "counts": tf[by],
     }
 
 

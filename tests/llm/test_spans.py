@@ -114,7 +114,27 @@ def test_automata_learn_formats():
     assert not any(model.score(v) >= model.least for v in ["Chapter-12-and-the-end", "2024-05-06.2024-05-07", "http-equiv-content-2"])
     text = f"use {held[0]} here, not Chapter-12-and-the-end"
     assert model.spans(text, []) == [(4, 4 + len(held[0]), "format")]
-    assert model.spans(text, [(4, 10, "hex", "")]) == []
+    assert model.spans(text, [(4, 31, "hex", "")]) == []
+    many = " ".join(f"{v}." for v in held[:50])
+    base = [(m.start(), m.end(), "hex", m[0]) for m in re.finditer(r"\S+", many)][::2]
+    assert [many[a:b] for a, b, _ in model.spans(many, base)] == [v for v in held[1:50:2] if model.fits(v)]
+
+
+def test_held_out_credentials_without_context(spark):
+    """Values that only an assignment labels are found elsewhere, where no base pattern matches; ordinary words aren't."""
+    rng = random.Random(9)
+    upper, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    key = lambda: "".join(rng.choice(upper) + rng.choice(digits) for _ in range(7))
+    words = lambda: " ".join("".join(rng.choice(["an", "er", "th", "ou", "st", "re"]) for _ in range(rng.randint(1, 8))) for _ in range(40))
+    held = {1000 + k: key() for k in range(60)}
+    rows = [(k, f"{words()} password = {key()} {words()}") for k in range(200)] + [(d, f"{words()} sent {v}, then {words()}") for d, v in held.items()]
+    rows += [(5000, "Chapter-12-and-the-end mail.example.com/index 2024-05-06/2024-05-07")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    text = dict(rows)
+    got = {r.doc_id: [x.split(":") for x in r.spans.split(",") if x] for r in secrets.secrets(docs).collect()}
+    found = {d: [text[d][int(a) : int(b)] for k, a, b in spans if k == "format"] for d, spans in got.items()}
+    assert sum(found[d] == [v] for d, v in held.items()) >= 57
+    assert not any(found[d] for d in found if d not in held)
 
 
 def test_secret_table(spark):

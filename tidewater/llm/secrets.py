@@ -26,13 +26,17 @@ BASE = KINDS[:3]
 #: The most distinct labelled credentials that a model is fitted on, shared among the kinds; of each those with the lowest hashes are taken.
 #: The bigrams of ordinary tokens are counted over all texts, and weigh like so many tokens at most.
 FIT_ROWS = 600
+#: Tokens whose verdict a task remembers.
+CACHE = 200_000
 
 _ASSIGN = re.compile(r"(?ai:(?:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 _WORDS = ("token", "password", "passwd", "secret", "apikey", "api_key")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 _HEX = re.compile(r"[0-9a-f]{16,}")
-#: What may be a credential: long enough, with a digit and a letter.
-_CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=-])(?=[A-Za-z+/_.=-]*[0-9])(?=[0-9+/_.=-]*[A-Za-z])[A-Za-z0-9+/_.=-]{16,}")
+#: What may be a credential: all that is as long as an assigned value must be; marks at its ends that may belong to the sentence aren't scored.
+SHORTEST = 12
+_CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % SHORTEST)
+_MARKS = ".-"
 _CLASS = {c: k for k, chars in {"d": "0123456789", "a": "abcdef", "l": "ghijklmnopqrstuvwxyz", "A": "ABCDEF", "U": "GHIJKLMNOPQRSTUVWXYZ", "+": "+", "/": "/", "_": "_", ".": ".", "=": "=", "-": "-"}.items() for c in chars}
 _SIZE = Counter(_CLASS.values())
 _FLOOR = 1e-4
@@ -175,6 +179,7 @@ class FormatModel:
         for (a, _), n in pairs.items():
             singles[a] += n
         self.plain = {(a, b): math.log((pairs[a, b] + 0.5) / (singles[a] + 0.5 * len(_SIZE)) / _SIZE[b]) for a in ["^", *_SIZE] for b in _SIZE}
+        self.known: dict[str, bool] = {}
         scores = sorted(self.score(v) for _, v in labelled)
         self.least = max(0.0, scores[int((1 - keep) * len(scores))]) if scores else math.inf
 
@@ -186,14 +191,34 @@ class FormatModel:
         return (max(a.score(value) for a in self.automata.values()) - plain) / len(value)
 
     def spans(self, text: str, base) -> list[tuple[int, int, str]]:
-        """Candidates of credential format that touch no base span."""
-        out = []
+        """Tokens, or what base spans leave of them, that have the format of a credential.  base: by start."""
+        out, k, end = [], 0, 0  # the next base span, and where those before it end
         for m in _CANDIDATE.finditer(text):
             a, b = m.span()
-            if not any(s[0] < b and a < s[1] for s in base) and self.score(m[0]) >= self.least:
-                out.append((a, b, "format"))
+            while k < len(base) and base[k][0] < b:
+                out += self._piece(text, max(a, end), base[k][0])
+                end = max(end, base[k][1])
+                k += 1
+            out += self._piece(text, max(a, end), b)
         return out
 
+    def _piece(self, text: str, a: int, b: int) -> list[tuple[int, int, str]]:
+        if b - a < SHORTEST:
+            return []
+        value = text[a:b].strip(_MARKS)
+        if len(value) < SHORTEST or not self.fits(value):
+            return []
+        a = text.index(value, a)
+        return [(a, a + len(value), "format")]
+
+    def fits(self, value: str) -> bool:
+        known = self.known.get(value)
+        if known is None:
+            if len(self.known) >= CACHE:
+                self.known.clear()
+            known = self.known[value] = self.score(value) >= self.least
+        return known
+
 
 # ---------------------------------------------------------------- over tables
 
@@ -262,11 +287,12 @@ _SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 st
 def secrets(docs: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
     """One row per row of docs: counts of the base kinds, their digest, all spans.
 
-    `format` spans are tokens that no base pattern touches and that the inferred automata
-    score as likely as the labelled credentials.  A null text is empty: counts 0, spans ""
-    and the digest of the empty string.  Without any labelled credential there are no format
-    spans.  Repeated rows give repeated rows; doc_id may be null.  Only doc_id and text are
-    read.
+    `format` spans are tokens of SHORTEST characters or more, or what base spans leave of
+    them, that the inferred automata score as likely as the labelled credentials; every such
+    token of every whole text is scored, in time linear in the text.  A null text is empty:
+    counts 0, spans "" and the digest of the empty string.  Without any labelled credential
+    there are no format spans.  Repeated rows give repeated rows; doc_id may be null.  An
+    empty table gives no rows.  Only doc_id and text are read.
     """
     model = fit(docs, rows)
 

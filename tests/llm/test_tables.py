@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 
 from tidewater.llm import html_text, mixing, packing, quality_rules
+from tidewater.llm.common import durable
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -110,21 +111,22 @@ def brute_counts(text):
 def brute_verdicts(rows):
     counts = [brute_counts(t) for _, t, _ in rows]
     at = {n: k for k, n in enumerate(quality_rules._COUNTS)}
-    rates = {}
+    rates, limits = {}, {}
     for r, (a, b, limit, _) in quality_rules.RULES.items():
         fails = [c[at[a]] > limit * c[at[b]] for c in counts]
         by = defaultdict(list)
         for f, (_, _, s) in zip(fails, rows, strict=True):
             by[s].append(f)
         m = sum(fails) / len(rows)
-        v = sum(len(x) * (sum(x) / len(x) - m) ** 2 for x in by.values()) / len(rows) - m * (1 - m) * len(by) / len(rows)
+        v = sum(len(x) * (sum(x) / len(x) - m) ** 2 for x in by.values()) / len(rows)
         s = 10000 if v <= 0 else max(1, min(10000, m * (1 - m) / v - 1))
+        limits[r] = m + 0.5 * math.sqrt(m * (1 - m) / (s + 1))
         for host, x in by.items():
             rates[r, host] = (sum(x) + s * m) / (len(x) + s)
     out = []
     for (d, _, host), c in zip(rows, counts, strict=True):
         base = c[0] < 50 or 100 * c[4] > 50 * c[0]
-        failed = [r for r, (a, b, limit, strict) in quality_rules.RULES.items() if c[at[a]] > (strict if rates[r, host] > 0.5 else limit) * c[at[b]]]
+        failed = [r for r, (a, b, limit, strict) in quality_rules.RULES.items() if c[at[a]] > (strict if rates[r, host] > limits[r] else limit) * c[at[b]]]
         out.append((d, *c[:5], base, ",".join(failed), not base and not failed))
     return out
 
@@ -156,6 +158,18 @@ def test_rules(spark):
 # ---------------------------------------------------------------- mixing
 
 
+def test_hosts_decide_on_given_data(spark):
+    """On the driver's documents some hosts aren't trusted, and documents go for it that stay elsewhere."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    measured = durable(quality_rules.measure(docs))
+    hosts = quality_rules.host_rates(measured).collect()
+    assert 0 < sum(h[f"rate_{r}"] > h[f"limit_{r}"] for h in hosts for r in quality_rules.RULES) < len(hosts)
+    kept = quality_rules.quality_verdicts(docs).where("kept").select("doc_id")
+    alone = quality_rules.quality_verdicts(docs, deviations=1e9).where("kept").select("doc_id")
+    assert kept.exceptAll(alone).count() == 0
+    assert 0 < alone.exceptAll(kept).count() < 0.05 * docs.count()
+
+
 def brute_targets(sizes):
     weights = dict(zip(sizes, [3, 1, 2] * len(sizes), strict=False))
     target = {s: 0.0 for s in sizes}
@@ -211,6 +225,27 @@ def test_mix(spark):
     assert mixing.mix_report(docs.limit(0)).count() == 0 and mixing.mixed(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("doc", [None, 7])
+def test_mix_of_rows_alike(spark, doc):
+    """Rows of one id, alike or not, come as near to the target as others."""
+    rows = [(doc, "w x y", "a", k) for k in range(2001)] + [(doc, f"{k} " * (k % 50), "b", k) for k in range(2000)] + [(None, None, "c", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n int").repartition(5)
+    got = mixing.mix_report(docs).collect()
+    assert len(got) == len(rows)
+    taken, target = Counter(), {}
+    for r in got:
+        taken[r.source_size] += r.taken
+        target[r.source_size] = r.target
+    for size, t in target.items():
+        assert abs(taken[size] - t) <= 25
+    again = mixing.mix_report(docs.repartition(3)).collect()
+    assert Counter(map(tuple, got)) == Counter(map(tuple, again))
+    mixed = Counter()
+    for r in mixing.mixed(docs).collect():
+        mixed[r.source] += len((r.text or "").split())
+    assert [mixed[s] for s in "ab"] == [taken[6003], taken[sum(k % 50 for k in range(2000))]]
+
+
 # ---------------------------------------------------------------- pages
 
 FRAME = (

@@ -83,22 +83,24 @@ f AS (
 long AS (
   SELECT source, r, count(*)::DOUBLE AS n, sum(f)::DOUBLE AS fails
   FROM (SELECT source, unnest([1, 2, 3]) AS r, unnest([f1, f2, f3]) AS f FROM f) GROUP BY ALL),
-mean AS (SELECT r, sum(fails) / sum(n) AS mean, sum(n) AS docs, count(*)::DOUBLE AS hosts FROM long GROUP BY r),
+mean AS (SELECT r, sum(fails) / sum(n) AS mean, sum(n) AS docs FROM long GROUP BY r),
 var AS (
-  SELECT r, mean, sum(n * (fails / n - mean) ^ 2) / docs - mean * (1 - mean) * hosts / docs AS v
-  FROM long JOIN mean USING (r) GROUP BY r, mean, docs, hosts),
+  SELECT r, mean, sum(n * (fails / n - mean) ^ 2) / docs AS v
+  FROM long JOIN mean USING (r) GROUP BY r, mean, docs),
 prior AS (
   SELECT r, mean, CASE WHEN v <= 0 THEN 10000 ELSE greatest(1, least(10000, mean * (1 - mean) / v - 1)) END AS s FROM var),
+shrunk AS (
+  SELECT source, r, (fails + s * mean) / (n + s) > mean + 0.5::DOUBLE * sqrt(mean * (1 - mean) / (s + 1)) AS strict
+  FROM long JOIN prior USING (r)),
 rates AS (
-  SELECT source, max((fails + s * mean) / (n + s)) FILTER (r = 1) AS r1, max((fails + s * mean) / (n + s)) FILTER (r = 2) AS r2,
-    max((fails + s * mean) / (n + s)) FILTER (r = 3) AS r3
-  FROM long JOIN prior USING (r) GROUP BY source),
+  SELECT source, bool_or(strict) FILTER (r = 1) AS r1, bool_or(strict) FILTER (r = 2) AS r2, bool_or(strict) FILTER (r = 3) AS r3
+  FROM shrunk GROUP BY source),
 judged AS (
   SELECT m.*, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
     concat_ws(',',
-      CASE WHEN n_symbols > (CASE WHEN r1 > 0.5 THEN 0.25 ELSE 0.5 END)::DOUBLE * n_words THEN 'symbols' END,
-      CASE WHEN n_dup_lines > (CASE WHEN r2 > 0.5 THEN 0.3 ELSE 0.5 END)::DOUBLE * n_lines THEN 'dup_lines' END,
-      CASE WHEN n_repeat_words > (CASE WHEN r3 > 0.5 THEN 0.2 ELSE 0.3 END)::DOUBLE * n_words THEN 'repeats' END) AS failed_rules
+      CASE WHEN n_symbols > (CASE WHEN r1 THEN 0.25 ELSE 0.5 END)::DOUBLE * n_words THEN 'symbols' END,
+      CASE WHEN n_dup_lines > (CASE WHEN r2 THEN 0.3 ELSE 0.5 END)::DOUBLE * n_lines THEN 'dup_lines' END,
+      CASE WHEN n_repeat_words > (CASE WHEN r3 THEN 0.2 ELSE 0.3 END)::DOUBLE * n_words THEN 'repeats' END) AS failed_rules
   FROM m JOIN rates ON m.source IS NOT DISTINCT FROM rates.source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, failed_rules,
   NOT base_failed AND failed_rules = '' AS kept
@@ -107,9 +109,10 @@ FROM judged
 
 _MIX_SQL = """
 WITH d AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
-    ('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, 'null')), 1, 3))::INT AS place
-  FROM documents),
+  SELECT *, ('0x' || substr(key, 1, 3))::INT AS place, row_number() OVER (PARTITION BY source, key) AS copy FROM (
+    SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
+      md5('mix-2:' || coalesce(doc_id::VARCHAR, 'null') || ':' || coalesce(md5(text), 'null')) AS key
+    FROM documents)),
 s AS (
   SELECT source, sum(size)::BIGINT AS source_size,
     [3.0::DOUBLE, 1.0, 2.0][(row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1] AS weight
@@ -127,9 +130,16 @@ g AS (
 p AS (SELECT source, place, sum(size)::BIGINT AS words FROM d GROUP BY source, place),
 u AS (SELECT *, sum(words) OVER (PARTITION BY source ORDER BY place) AS upto FROM p),
 c AS (
-  SELECT u.source, max(place) AS last_ FROM u JOIN g ON u.source IS NOT DISTINCT FROM g.source
-  WHERE upto - words / 2 <= rest GROUP BY u.source)
-SELECT doc_id, size, g.source_size, target, (size * least(2, whole + (place <= coalesce(last_, -1))::INT))::BIGINT AS taken
+  SELECT u.source, place AS last_, rest - upto + words AS left_
+  FROM u JOIN g ON u.source IS NOT DISTINCT FROM g.source WHERE upto - words <= rest AND rest < upto),
+k AS (
+  SELECT d.source, key, size, left_, sum(size) OVER (PARTITION BY d.source ORDER BY key, copy) - size AS before, d.doc_id, copy
+  FROM d JOIN c ON d.source IS NOT DISTINCT FROM c.source AND place = last_),
+x AS (
+  SELECT source, key, copy FROM k WHERE CASE WHEN size = 0 THEN before <= left_ ELSE before + size / 2 <= left_ END)
+SELECT doc_id, size, g.source_size, target,
+  (size * least(2, whole + (place < coalesce(last_, 9999) OR place = last_ AND EXISTS (
+    SELECT 1 FROM x WHERE x.source IS NOT DISTINCT FROM d.source AND x.key = d.key AND x.copy = d.copy))::INT))::BIGINT AS taken
 FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source LEFT JOIN c ON d.source IS NOT DISTINCT FROM c.source
 """
 

@@ -79,7 +79,9 @@ def test_join_is_exact(spark, seed, monkeypatch):
     rows += [(900, None), (901, ""), (902, "  "), (None, rows[0][1]), (None, "only here and nowhere else"), rows[1], rows[1], (905, "Two words"), (904, "two WORDS")]
     if seed == 2:
         monkeypatch.setattr(jaccard_join, "BLOCK", 4)  # groups beyond a block are joined block by block
-    docs = spark.createDataFrame([(d, t, "x", 1) for d, t in rows], "doc_id long, text string, key string, n long").repartition(5)
+        monkeypatch.setattr(common, "HOT", 3)  # and hot keys apart from others
+        monkeypatch.setattr(common, "fits", lambda df, *_: False)
+    docs = spark.createDataFrame([(d, t, "x", 1, 2, 3) for d, t in rows], "doc_id long, text string, key string, n long, id long, `row` int").repartition(5)
     got = Counter((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in jaccard_join.jaccard_components(docs).collect())
     assert got == brute_join(rows)
     kept = jaccard_join.one_of_each(docs)

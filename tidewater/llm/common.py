@@ -141,17 +141,20 @@ def tidy(function):
 # ---------------------------------------------------------------- connected components
 
 
-def join_hot(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
-    """Inner join of rows with a durable table of one row a key: `n` is how many of rows have that key.
+def join_hot(rows: DataFrame, table: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Inner or left join of rows with a durable table of one row a key: `n` is how many of rows have that key.
 
     A small table is broadcast.  Otherwise only the hot keys are, of which there can't be
-    more than len(rows) / HOT; no other key brings a task more than HOT rows.
+    more than len(rows) / HOT; no other key brings a task more than HOT rows, and rows with a
+    null key aren't moved.
     """
     if fits(table):
-        return rows.join(F.broadcast(table.drop("n")), key)
+        return rows.join(F.broadcast(table.drop("n")), key, how)
     hot = F.broadcast(table.where(F.col("n") > HOT).drop("n"))
     cold = table.where(F.col("n") <= HOT).drop("n")
-    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))
+    known = rows.where(F.col(key).isNotNull())
+    out = known.join(hot, key).unionByName(known.join(hot.select(key), key, "left_anti").join(cold, key, how))
+    return out if how == "inner" else out.unionByName(rows.where(F.col(key).isNull()), allowMissingColumns=True)
 
 
 def _with_least(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, durable, shingle_sets, signed, small, tidy
+from .common import components, durable, forget, join_hot, shingle_sets, signed, small, tidy
 
 #: Classes of a candidate group that a task holds as one side of the join.
 BLOCK = 1024
@@ -66,8 +66,14 @@ _ENTRY = pa.schema([("token", pa.int64()), ("key", pa.int64()), ("cnt", pa.int64
 
 @tidy
 def _entries(batches):
-    """cnt 0: one class here has the shingle; -1: several here have it, this is one; above 0: so many of the key's shingles are shared here."""
+    """Rows by cnt.  0: here one class has the shingle; -1: several have it; above 0: so many of the key's shingles are shared here.
+
+    A shingle that several classes of a batch have is counted for them on the spot, and for
+    all later ones of the task; for others it is sent once a task.  So a shingle that every
+    document has brings a row from each task, not one from each document.
+    """
     done: set[int] = set()
+    known = np.empty(0, np.uint64)  # shingles that are shared in this task
     for batch in batches:
         tokens, keys = [], []
         for _, s in shingle_sets(batch.column("text")):
@@ -83,11 +89,18 @@ def _entries(batches):
             continue
         order = np.argsort(t, kind="stable")
         t, k = t[order], k[order]
-        head = np.concatenate(([True], t[1:] != t[:-1]))
-        follow = np.concatenate((~head[1:], [False]))
-        cnt = np.where(follow[head], -1, 0).astype(np.int64)
-        own, times = np.unique(k[~head], return_counts=True)
-        yield from pa.table([signed(np.concatenate((t[head], own))), signed(np.concatenate((k[head], own))), np.concatenate((cnt, times.astype(np.int64)))], _ENTRY).to_batches(CHUNK_ROWS)
+        same = t[1:] == t[:-1]
+        shared = np.concatenate(([False], same)) | np.concatenate((same, [False]))
+        fresh = np.setdiff1d(t[shared], known)
+        if len(known):
+            at = np.minimum(np.searchsorted(known, t), len(known) - 1)
+            shared |= known[at] == t
+        known = np.union1d(known, fresh)
+        own, times = np.unique(k[shared], return_counts=True)
+        token = np.concatenate((t[~shared], fresh, own))
+        key = np.concatenate((k[~shared], np.zeros(len(fresh), np.uint64), own))
+        cnt = np.concatenate((np.zeros((~shared).sum(), np.int64), np.full(len(fresh), -1), times.astype(np.int64)))
+        yield from pa.table([signed(token), signed(key), cnt], _ENTRY).to_batches(CHUNK_ROWS)
 
 
 @tidy
@@ -96,6 +109,7 @@ def _shared(batches):
     if not parts:
         return
     token, key, cnt = (np.concatenate(x) for x in zip(*parts, strict=True))
+    parts.clear()
     plain = cnt > 0
     keys, counts = [key[plain]], [cnt[plain]]
     token, key, cnt = token[~plain], key[~plain], cnt[~plain]
@@ -103,7 +117,7 @@ def _shared(batches):
         order = np.lexsort((key, token))
         token, key, cnt = token[order], key[order], cnt[order]
         new_token = np.concatenate(([True], token[1:] != token[:-1]))
-        new_pair = new_token | np.concatenate(([True], key[1:] != key[:-1]))
+        new_pair = (new_token | np.concatenate(([True], key[1:] != key[:-1]))) & (cnt == 0)
         at = np.flatnonzero(new_token)
         many = (np.add.reduceat(new_pair.astype(np.int64), at) > 1) | (np.minimum.reduceat(cnt, at) < 0)
         chosen = key[new_pair & many[np.cumsum(new_token) - 1]]
@@ -241,21 +255,24 @@ def link_classes(docs: DataFrame, described: DataFrame, num: int = 3, den: int =
     sets = texts.mapInArrow(_sets, "key long, tokens array<long>").join(small(alive), "key").groupBy("key").agg(F.first("tokens").alias("tokens"), F.first("n").alias("n"), F.first("copies").alias("copies"))
     sets = durable(sets)
     entries = sets.select("key", F.explode("tokens").alias("token"))
-    common = entries.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    held = entries.join(common, "token").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared"))
+    common = durable(entries.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").withColumn("n", F.col("df")))
+    held = join_hot(entries, common, "token").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared"))
     held = durable(held.join(sets.select("key", "n", "copies"), "key").where(f"n - size(shared) <= {slack}").select("key", "n", "copies", F.col("shared.token").alias("tokens"), F.col("shared.df").alias("dfs")))
     prefix = held.select("key", F.explode(F.slice("tokens", F.lit(1), F.expr(f"cast({slack} + 1 - (n - size(tokens)) as int)"))).alias("token"))
-    stars = prefix.groupBy("token").agg(F.min("key").alias("low"), F.count("*").alias("times")).where("times > 1")
-    groups = components(prefix.join(stars, "token").select(F.col("key").alias("a"), F.col("low").alias("b")))
+    forget(common, sets, alive)
+    stars = durable(prefix.groupBy("token").agg(F.min("key").alias("low"), F.count("*").alias("n")).where("n > 1"))
+    groups = components(join_hot(prefix, stars, "token").select(F.col("key").alias("a"), F.col("low").alias("b")))
     groups = durable(groups)
-    sizes = groups.groupBy("component").agg(F.count("*").alias("size"))
+    sizes = durable(groups.groupBy("component").agg(F.count("*").alias("size")).withColumn("n", F.col("size")))
     bins = max(1, -(-groups.count() // (2 * BLOCK)))
-    member = groups.join(sizes, "component").join(held.withColumnRenamed("key", "node"), "node").withColumn("blocks", F.expr(f"cast((size + {BLOCK - 1}) div {BLOCK} as int)"))
+    member = join_hot(groups, sizes, "component").join(held.withColumnRenamed("key", "node"), "node").withColumn("blocks", F.expr(f"cast((size + {BLOCK - 1}) div {BLOCK} as int)"))
     member = member.withColumn("own", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
     one = member.where("blocks = 1").select(F.expr(f"pmod(xxhash64(component), {bins})").alias("unit"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("block"), F.col("node").alias("key"), "n", "copies", "tokens", "dfs", "blocks")
     more = member.where("blocks > 1").withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select(F.col("component").alias("unit"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("own").alias("block"), F.col("node").alias("key"), "n", "copies", "tokens", "dfs", "blocks")
     found = one.unionByName(more).groupBy("unit", "i", "j").applyInArrow(_join_unit(num, den), "key long, root long, links long, whole boolean")
-    return durable(found), classes
+    found = durable(found)
+    forget(held, stars, groups, sizes)
+    return found, classes
 
 
 def jaccard_components(docs: DataFrame, num: int = 3, den: int = 4) -> DataFrame:
@@ -268,7 +285,8 @@ def jaccard_components(docs: DataFrame, num: int = 3, den: int = 4) -> DataFrame
     A null or wordless text has the empty set, is linked with nothing and is its own
     component.  Rows that repeat are copies of each other.  A null doc_id takes part and
     gets the smallest known id of its component, or null.  Only doc_id and text are read.
-    Sets are compared by 64-bit hashes of shingles and classes by 64-bit hashes of sets.
+    Texts are read whole, however long.  An empty table gives no rows.  Sets are compared by
+    64-bit hashes of shingles and classes by 64-bit hashes of sets.
     """
     described = durable(describe(docs))
     found, classes = link_classes(docs, described, num, den)
@@ -278,24 +296,30 @@ def jaccard_components(docs: DataFrame, num: int = 3, den: int = 4) -> DataFrame
     links = found.groupBy("key").agg(F.sum("links").alias("links"))
     whole = classes.where("copies > 1").select("key").unionByName(near.select("key")).distinct()
     whole = classes.join(whole, "key", "left_semi").join(near, "key", "left").join(links, "key", "left")
-    whole = durable(whole.select("key", "lowest", F.coalesce("component", "key").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
-    ids = whole.groupBy("component").agg(F.min("lowest").alias("component_id"))
-    known = durable(whole.join(ids, "component").select("key", "component_id", "n_links"))
-    return described.join(small(known), "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    whole = durable(whole.select("key", "lowest", F.coalesce("component", "key").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "copies"))
+    ids = durable(whole.groupBy("component").agg(F.min("lowest").alias("component_id"), F.count("*").alias("n")))
+    known = join_hot(whole.select("component", "key", "n_links", "copies"), ids, "component").select("key", "component_id", "n_links", F.col("copies").alias("n"))
+    known = durable(known)
+    forget(whole, ids, found, classes)
+    return join_hot(described.select("doc_id", "key", F.col("n").alias("n_shingles")), known, "key", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def one_of_each(docs: DataFrame, num: int = 3, den: int = 4) -> DataFrame:
     """The rows of docs without those linked, directly or not, to one with a smaller doc_id.
 
     Rows that repeat a doc_id and its text count once.  Rows with a null doc_id stay, as
-    nothing tells them apart; so do wordless texts.  All columns of docs are returned.
+    nothing tells them apart; so do wordless texts.  All columns of docs are returned,
+    whatever their names.
     """
     parts = durable(jaccard_components(docs, num, den).where("doc_id is not null"))
-    gone = parts.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    again = durable(parts.groupBy(F.col("doc_id").alias("_again")).agg(F.count("*").alias("_rows")).where("_rows > 1").select("_again"))
-    left = docs.join(small(gone), docs["doc_id"] == F.col("_gone"), "left_anti")
+    gone = parts.where("doc_id <> component_id").select(F.col("doc_id").alias("id")).distinct()
+    again = durable(parts.groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("rows")).where("rows > 1").select("id"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    nameless = rows.where("id is null").select("row.*")
+    left = rows.where("id is not null").join(small(durable(gone)), "id", "left_anti")
     if not again.head(1):
-        return left
+        return left.select("row.*").unionByName(nameless)
     again = small(again)
-    once = left.join(again, left["doc_id"] == F.col("_again"), "left_anti")
-    return once.unionByName(left.join(again, left["doc_id"] == F.col("_again"), "left_semi").dropDuplicates(["doc_id", "text"]))
+    once = left.join(again, "id", "left_anti").select("row.*")
+    some = left.join(again, "id", "left_semi").dropDuplicates(["id", "content"]).select("row.*")
+    return once.unionByName(some).unionByName(nameless)

@@ -120,11 +120,54 @@ def test_chain_feeds_out_of_fold_predictions():
     chain = toxicity.Chain(lists, {"toxic": y, "severe": y}, folds=4)
     first, second = chain.links["toxic"], chain.links["severe"]
     assert len(second.w) == len(second.chosen) + 2 and second.w[-2] > 1
-    assert 5 in first.chosen
+    assert 5 in first.features
     p = chain.score([{5, 11}, {11}])
     assert p["severe"][0] > 0.8 and p["severe"][1] < 0.3
 
 
+def test_chain_is_the_plain_chain():
+    """Scores are those of a chain written out: out-of-fold probabilities of the first category are features of the second, whose labels each fold derives by itself."""
+    rng = np.random.default_rng(8)
+    n, folds = 400, 4
+    y = (rng.random(n) < 0.3).astype(np.int64)
+    bad = np.arange(4, 4 * 9, 4)
+    lists = [np.unique(np.append(4 * rng.choice(np.arange(20, 200), 15), rng.choice(bad, rng.integers(1, 6)) if t else [])).astype(np.int32) for t in y]
+    chain = toxicity.Chain(lists, {"toxic": y, "severe": toxicity.severe(y)}, folds=folds)
+    every = np.unique(np.concatenate(lists))
+    dense = np.array([np.isin(every, x) for x in lists], float)
+
+    def fit(target, rows, earlier):
+        a, b = dense[rows][target[rows] == 1], dense[rows][target[rows] == 0]
+        n1, n0 = max(len(a), 1), max(len(b), 1)
+        gap = a.sum(0) / n1 - b.sum(0) / n0
+        z = np.abs(gap) / np.sqrt((a.sum(0) + 1) / n1**2 + (b.sum(0) + 1) / n0**2)
+        z[(dense[rows].sum(0) < 3) | (dense.sum(0) < 3)] = 0
+        chosen = np.flatnonzero(z > 2.5)
+        terms = every[chosen[(gap[chosen] > 0) & (b.sum(0)[chosen] <= 0.02 * a.sum(0)[chosen])]]
+        w = linear.logistic(np.column_stack([dense[rows][:, chosen], earlier[rows]]), target[rows].astype(float), ridge=0.02)
+        return terms, lambda x, e: linear.sigmoid(linear.linear(w, np.column_stack([x[:, chosen], e])))
+
+    parts, out, none = [], np.zeros(n), np.zeros((n, 0))
+    for k in range(folds):
+        held = np.arange(n) % folds == k
+        parts.append(fit(y, np.flatnonzero(~held), none))
+        out[held] = parts[k][1](dense[held], none[held])
+    terms, first = fit(y, np.arange(n), none)
+    second = fit(y * (np.array([np.isin(x, terms).sum() for x in lists]) >= 3), np.arange(n), out[:, None])[1]
+    got = chain.score([set(x.tolist()) for x in lists])
+    p = first(dense, none)
+    assert got["toxic"] == pytest.approx(p, abs=1e-6)
+    assert got["severe"] == pytest.approx(second(dense, p[:, None]), abs=1e-6)
+
+
+def test_sample_is_bounded_by_rows(spark):
+    """An id that is there very often doesn't fill the sample, and the sample has no more rows than asked for."""
+    docs = spark.createDataFrame([(1, f"text {k % 700}") for k in range(5000)] + [(k, f"t {k}") for k in range(2, 60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1) for k in range(1, 60)], "doc_id long, toxic int")
+    assert linear.labelled_sample(docs, labels, "toxic", 10).count() == 10
+    assert linear.labelled_sample(docs, labels, "toxic", 1000).count() == 758
+
+
 def test_all_unlabelled_documents_take_part(spark):
     """Sums over the stored views are those over arrays of all rows, more than the 6000 of the former pool."""
     rng = np.random.default_rng(6)

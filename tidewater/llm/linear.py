@@ -34,10 +34,12 @@ def linear(w: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
-    """docs' rows with a known label, at most `rows` labels: those whose doc_id hashes lowest.
+    """At most `rows` distinct rows of docs with a known label: `_id`, `_label` and docs' columns; those whose doc_id hashes lowest.
 
-    Labels that are null or contradict each other for a doc_id don't count.
+    Labels that are null or contradict each other for a doc_id don't count.  Rows that repeat
+    count once, so one id that is there very often can't fill the sample with copies.
     """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.min(label).alias("_label"), F.max(label).alias("_other"))
     known = known.where("_label = _other").orderBy(F.xxhash64("_id"), "_id").limit(rows).select("_id", F.col("_label").cast("int").alias("_label"))
-    return docs.join(F.broadcast(known), docs["doc_id"] == F.col("_id"))
+    found = docs.join(F.broadcast(known), docs["doc_id"] == F.col("_id")).distinct()
+    return found.orderBy(F.xxhash64("_id"), "_id", F.xxhash64(*docs.columns)).limit(rows)

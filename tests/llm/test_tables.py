@@ -53,20 +53,36 @@ def test_plan_holds_everything(seed):
 
 
 def test_nnls_finds_the_fit():
-    kinds = packing.patterns(16, 2)
-    assert all(k.sum() == 16 for k in kinds)
+    kinds = packing.patterns(16)
+    assert all(14 <= k.sum() <= 16 for k in kinds) and len({tuple(k) for k in kinds}) == len(kinds)
     rng = np.random.default_rng(2)
     truth = np.zeros(len(kinds))
     truth[rng.choice(len(kinds), 5, replace=False)] = rng.integers(5, 50, 5)
-    b = np.zeros(17)
-    for k, r in zip(kinds, truth, strict=True):
-        np.add.at(b, k, r)
+    b = packing._used(kinds, truth, 16)
+    x, done = packing.nnls(kinds, b)
+    assert done and (x >= 0).all() and np.abs(packing._used(kinds, x, 16) - b).max() < 1e-3
+    # no fit is better: at the least squares no pattern's gradient points inwards
+    b = b + rng.integers(0, 30, 17)
     b[0] = 0
-    x = packing.nnls(kinds, b)
-    fit = np.zeros(17)
-    for k, r in zip(kinds, x, strict=True):
-        np.add.at(fit, k, r)
-    assert (x >= 0).all() and np.abs(fit[1:] - b[1:]).max() < 1e-3
+    x, done = packing.nnls(kinds, b)
+    gain = (b - packing._used(kinds, x, 16))[kinds]
+    gain = np.where(kinds > 0, gain, 0).sum(1)
+    assert done and gain.max() < 1e-3 * b.max() and np.abs(gain[x > 0]).max() < 1e-3 * b.max()
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_patterns_place_most_pieces(seed):
+    """The rounded fit can be carried out, and best fit only gets the rest."""
+    rng = np.random.default_rng(seed)
+    many = np.clip(rng.lognormal(6.5, 1.0, [0, 300, 5000, 60000][seed]).astype(int), 1, 4096)
+    by_bin = np.bincount((many + 31) // 32, minlength=129)
+    kinds, repeats = packing.fitted(by_bin)
+    assert (packing._used(kinds, repeats, 128) <= by_bin).all() and (repeats > 0).all()
+    count = np.bincount(many, minlength=4097)
+    made = packing.by_patterns(count)
+    assert sum(n for _, n in made) == repeats.sum()
+    assert count.min() >= 0 and sum(n * sum(t for _, t in items) for items, n in made) + count.sum() == len(many)
+    assert count.sum() < [0, 0.5, 0.1, 0.05][seed] * len(many)
 
 
 def test_packing(spark):

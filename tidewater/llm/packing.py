@@ -1,9 +1,9 @@
 """Packing documents into fixed-length sequences by patterns.
 
-The lengths of all pieces make a histogram.  Patterns are multisets of two or three length
-bins that fill a sequence; non-negative least squares fits how often each pattern is used.
-The repeats are rounded down and realised with exact lengths, the last place of a pattern by
-the longest piece that fits; what is left goes, longest first, into the fullest sequence
+The lengths of all pieces make a histogram.  Patterns are multisets of a few length bins that
+fill a sequence; non-negative least squares fits how often each pattern is used, so that no
+bin is overdrawn.  The repeats are rounded down and realised with exact lengths, the last
+place of a pattern by the longest piece that fits; what is left goes, longest first, into the fullest sequence
 with room.  All of that works on counts, so its cost doesn't depend on the number of
 documents; every piece then finds its place from its length and its rank among pieces of
 that length.
@@ -25,8 +25,12 @@ from .common import durable, small, tidy
 #: Tokens of a sequence, and the id that ends a document.
 LENGTH, END = 4096, 1
 TOKENIZER = "word_bpe_49k.json"
-#: Width of the length bins that patterns are made of, and the shortest piece that patterns place.
-BIN, SHORT = 32, 256
+#: Width of the length bins that patterns are made of, how many equal bins a pattern may have, and how many bins it may leave empty.
+BIN, MOST, SLACK = 32, 6, 2
+#: Fits, and how much more the squares of overdrawn bins weigh in each.
+FITS, OVER = 4, 10.0
+#: Pieces below SHORT are short; this part of them isn't placed by patterns.
+SHORT, KEPT = 256, 0.5
 #: Entries of a worker's caches of words.
 CACHE = 200_000
 
@@ -133,37 +137,53 @@ def _pieces(path: str, length: int):
 # ---------------------------------------------------------------- the plan
 
 
-def patterns(bins: int, least: int) -> np.ndarray:
-    """Pairs and triples of bins, none below `least`, that sum to `bins`; unused places are 0."""
-    a = np.arange(least, bins)
-    pairs = np.stack([a, bins - a, np.zeros_like(a)], 1)
-    pairs = pairs[(pairs[:, 0] >= pairs[:, 1]) & (pairs[:, 1] >= least)]
-    x, y = np.meshgrid(a, a, indexing="ij")
-    triples = np.stack([x.ravel(), y.ravel(), bins - x.ravel() - y.ravel()], 1)
-    triples = triples[(triples[:, 0] >= triples[:, 1]) & (triples[:, 1] >= triples[:, 2]) & (triples[:, 2] >= least)]
-    return np.concatenate([pairs, triples])
+def patterns(bins: int, most: int = MOST, slack: int = SLACK) -> np.ndarray:
+    """Multisets of bins that sum to `bins`, or to `slack` less at most: rows of places, 0 where there is none.
 
-
-def nnls(columns: np.ndarray, b: np.ndarray, most: int | None = None) -> np.ndarray:
-    """Non-negative least squares by active sets, for a matrix whose column k counts the entries of columns[k] (0 counts nothing)."""
+    One to three bins of any size; and one of any size with up to `most` equal ones and what
+    fills the rest, which is where short pieces go.
+    """
+    a = np.arange(1, bins + 1)
+    out = [np.stack([a, *[np.zeros_like(a)] * (most + 1)], 1)]
+    for total in range(max(bins - slack, 1), bins + 1):
+        x, y = (v.ravel() for v in np.meshgrid(a, np.append(0, a), indexing="ij"))
+        z = total - x - y
+        ok = (x >= y) & (y >= z) & (z >= 0) & ((y > 0) | (z == 0))
+        out.append(np.stack([x[ok], y[ok], z[ok], *[np.zeros_like(x[ok])] * (most - 1)], 1))
+    x, v = (v.ravel() for v in np.meshgrid(np.append(0, a), a, indexing="ij"))
+    for m in range(2, most + 1):
+        rest = bins - x - m * v
+        ok = (rest >= 0) & (rest < np.maximum(v, slack + 1))
+        out.append(np.stack([x[ok], *[v[ok]] * m, *[np.zeros_like(x[ok])] * (most - m), rest[ok]], 1))
+    kinds = -np.sort(-np.concatenate(out), axis=1)
+    kinds = kinds[kinds.sum(1) >= bins - slack]
+    return np.unique(kinds, axis=0)
+
+
+def nnls(columns: np.ndarray, b: np.ndarray, weight: np.ndarray | None = None, most: int | None = None) -> tuple[np.ndarray, bool]:
+    """Non-negative least squares by active sets, and whether it has converged.
+
+    Column k of the matrix counts the entries of columns[k] (0 counts nothing); `weight` is
+    that of the squares of each row.
+    """
     x = np.zeros(len(columns))
+    root = np.ones(len(b)) if weight is None else np.sqrt(weight)
+    root = np.where(np.arange(len(b)) == 0, 0, root)
+    goal = b * root
     active: list[int] = []
     dense = np.zeros((len(b), 0))
     tol = 1e-6 * (1 + b.max(initial=0))
-    for _ in range(most or 3 * len(b)):
-        rest = b - dense @ x[active] if active else b.copy()
-        rest[0] = 0
+    for _ in range(most or 10 * len(b)):
+        rest = (goal - dense @ x[active]) * root if active else goal * root
         gain = rest[columns].sum(1)
         gain[active] = 0
         j = int(gain.argmax()) if len(gain) else 0
         if not len(gain) or gain[j] <= tol:
-            break
+            return x, True
         active.append(j)
-        column = np.bincount(columns[j], minlength=len(b)).astype(float)
-        column[0] = 0
-        dense = np.column_stack([dense, column])
+        dense = np.column_stack([dense, np.bincount(columns[j], minlength=len(b)) * root])
         while True:
-            z = np.linalg.solve(dense.T @ dense + 1e-9 * np.eye(len(active)), dense.T @ b)
+            z = np.linalg.solve(dense.T @ dense + 1e-9 * np.eye(len(active)), dense.T @ goal)
             if z.min() > 1e-9:
                 x[active] = z
                 break
@@ -180,7 +200,42 @@ def nnls(columns: np.ndarray, b: np.ndarray, most: int | None = None) -> np.ndar
             x[active] = now[stay]
             if not active:
                 break
-    return x
+    return x, False
+
+
+def _used(kinds: np.ndarray, repeats: np.ndarray, bins: int) -> np.ndarray:
+    out = np.zeros(bins + 1)
+    np.add.at(out, kinds, np.repeat(repeats[:, None], kinds.shape[1], 1))
+    out[0] = 0
+    return out
+
+
+def fitted(by_bin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Patterns and whole repeats that together use no more of a bin than there is.
+
+    Least squares alone uses too much of some bins and too little of others; so the squares
+    of bins that are overdrawn weigh OVER times more in each further fit.  What rounding and
+    the last overdrafts leave too many is taken back from the patterns that overdraw most.
+    """
+    bins = len(by_bin) - 1
+    kinds = patterns(bins)
+    kinds = kinds[(by_bin[kinds] > 0).sum(1) == (kinds > 0).sum(1)]
+    weight = 1 / np.maximum(by_bin, 1)
+    repeats = np.zeros(len(kinds))
+    for _ in range(FITS):
+        repeats, _ = nnls(kinds, by_bin, weight)
+        over = _used(kinds, repeats, bins) > by_bin * (1 + 1e-3)
+        if not over.any():
+            break
+        weight = np.where(over, OVER * weight, weight)
+    repeats = np.floor(repeats + 1e-6)
+    while (over := np.maximum(_used(kinds, repeats, bins) - by_bin, 0)).any():
+        cost = np.where(repeats > 0, over[kinds].sum(1), 0)
+        k = int(cost.argmax())
+        worst = over[kinds[k]].max()
+        repeats[k] = max(0, repeats[k] - np.ceil(worst / max(1, np.bincount(kinds[k])[1:].max(initial=1))))
+    some = repeats > 0
+    return kinds[some], repeats[some].astype(np.int64)
 
 
 def _largest(count: np.ndarray, low: int, high: int) -> int:
@@ -189,42 +244,46 @@ def _largest(count: np.ndarray, low: int, high: int) -> int:
     return int(at[-1]) + max(low, 1) if len(at) else 0
 
 
-def pack_counts(histogram: np.ndarray, length: int = LENGTH, width: int = BIN, short: int = SHORT) -> list[tuple[tuple[tuple[int, int], ...], int]]:
-    """[(((length, times), ...), sequences)] that hold as many pieces of each length as histogram counts."""
-    count = histogram.astype(np.int64).copy()
+def by_patterns(count: np.ndarray, length: int = LENGTH, width: int = BIN) -> list[tuple[tuple[tuple[int, int], ...], int]]:
+    """[(((length, times), ...), sequences)] that the fitted patterns make; what they use is taken out of count."""
     bins = length // width
-    by_bin = np.zeros(bins + 1)
     of = (np.arange(length + 1) + width - 1) // width
-    np.add.at(by_bin, of[short:], count[short:])
-    kinds = patterns(bins, max(1, of[short]))
-    kinds = kinds[(by_bin[kinds] > 0).astype(int).sum(1) == (kinds > 0).sum(1)]
-    repeats = np.floor(nnls(kinds, np.where(np.arange(bins + 1) == bins, 0, by_bin)) + 1e-6).astype(np.int64)
+    by_bin = np.bincount(of, count, bins + 1)
+    by_bin[0] = 0
     made: list[tuple[tuple[tuple[int, int], ...], int]] = []
-    for k in np.argsort(-repeats, kind="stable"):
+    kinds, repeats = fitted(by_bin)
+    for k in np.argsort(-kinds.max(1), kind="stable"):
         left = int(repeats[k])
-        if not left:
-            break
         places = [int(v) for v in kinds[k] if v]
-        while left:
+        while left and count.any():
+            # a place takes the longest piece of its bin, or a shorter one if others have used it up;
+            # the last place the longest that fits into what rounding to bins has left
             chosen: list[int] = []
-            for v in places[:-1]:
-                if got := _largest(count, width * (v - 1) + 1, width * v):
+            for at, v in enumerate(places):
+                most = width * v if at < len(places) - 1 else length - sum(chosen)
+                if got := _largest(count, 1, most):
                     count[got] -= 1
                     chosen.append(got)
-            room = length - sum(chosen)
-            if len(chosen) == len(places) - 1 and (got := _largest(count, max(short, room - 2 * width), room)):
-                count[got] -= 1
-                chosen.append(got)
             times = {v: chosen.count(v) for v in chosen}
             for v in chosen:
                 count[v] += 1
-            if len(chosen) < len(places):
-                break
             n = min(left, *(int(count[v]) // t for v, t in times.items()))
             for v, t in times.items():
                 count[v] -= n * t
             made.append((tuple(times.items()), n))
             left -= n
+    return made
+
+
+def pack_counts(histogram: np.ndarray, length: int = LENGTH, width: int = BIN) -> list[tuple[tuple[tuple[int, int], ...], int]]:
+    """[(((length, times), ...), sequences)] that hold as many pieces of each length as histogram counts."""
+    count = histogram.astype(np.int64).copy()
+    count[0] = 0
+    # a part of the short pieces is kept to fill what exact lengths leave of the patterns' bins
+    kept = np.where(np.arange(length + 1) < SHORT, (count * KEPT).astype(np.int64), 0)
+    count -= kept
+    made = by_patterns(count, length, width)
+    count += kept
     # best fit for the rest: by room, the sequences that have it
     open_: dict[int, list[tuple[tuple[tuple[int, int], ...], int]]] = {}
     some = np.zeros(length + 1, bool)

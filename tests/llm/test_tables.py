@@ -290,12 +290,66 @@ def test_pages(spark):
     assert html_text.main_text(pages.limit(0)).count() == 0
 
 
-def test_template_classes(spark):
-    pages = spark.createDataFrame([(k, "http://h.example/", f"<body><div class=a><p>same</p><p>own {k}</p></div></body>") for k in range(8)], "page_id long, url string, html string")
-    tokens = set(html_text.templates(pages).first().tokens)
-    page = html_text.Page("<body><div class=a><p>same</p><p>own 3</p></div></body>")
-    known = {t for t in page.tokens() if html_text._hash(t) in tokens}
-    assert any(t.endswith("same") for t in known) and not any(t.endswith("own 3") for t in known) and "/body/div.a" in known
+def parsed(spark, rows):
+    return durable(spark.createDataFrame(rows, "page_id long, url string, html string").mapInArrow(html_text._parse, html_text._PARSED))
+
+
+def brute_classes(rows, least=4, part=0.5):
+    """Sets of tokens with equal occurrence vectors, written out."""
+    pages = [Counter(t for t, _ in html_text.Page(h).order) for _, _, h in rows]
+    by = defaultdict(set)
+    for t in set().union(*pages):
+        by[tuple(p[t] for p in pages)].add(t)
+    n = len(rows)
+    on = lambda v: sum(x > 0 for x in v)
+    return {frozenset(c) for v, c in by.items() if on(v) >= max(least, part * n) and (len(c) > 1 or v == (1,) * n)}
+
+
+@pytest.mark.parametrize("times", [1, 2])
+def test_classes_are_those_of_occurrence_vectors(spark, times):
+    """Classes are found as by brute force, and repeated rows leave them as they are."""
+    rng = random.Random(4)
+    part = lambda k: "".join(f"<div class=c{j}><p>{rng.choice(['same', 'other', f'own {k} {j}'])}</p></div>" * rng.randint(0, 2) for j in range(5))
+    rows = [(k, "http://h.example/", f"<body><div class=a><p>Title {k}</p><p>fixed</p>{part(k)}<p>end</p></div></body>") for k in range(24)]
+    found = html_text.classes(parsed(spark, rows * times)).first().tokens
+    got = defaultdict(set)
+    for t in found:
+        got[t["class"]].add(t["token"])
+    assert {frozenset(c) for c in got.values()} == brute_classes(rows)
+
+
+def test_template_is_a_tree_of_ordered_classes(spark):
+    rng = random.Random(6)
+    rows = []
+    for k in range(20):
+        mixed = ["<p>left</p>", "<p>right</p>"]
+        rng.shuffle(mixed)
+        inner = "<section><p>head</p><p>foot</p></section>" if k % 4 else ""
+        rows.append((k, "http://h.example/", f"<body><div class=a><p>top</p><p>own {k}</p>{inner}<div class=m>{''.join(mixed)}</div><p>bottom</p></div></body>"))
+    found = html_text.templates(parsed(spark, rows)).first()
+    template = html_text.Template(found.template, found.tree)
+    token = lambda path, text="": html_text._hash(f"{path}\0{text}" if text else path)
+    at = "/body/div.a"
+    root, inner = template.of[token(f"{at}/p", "top")], template.of[token(f"{at}/section")]
+    assert template.of[token(f"{at}/p", "bottom")] == root != inner and template.parent[inner] == root
+    # "left" and "right" are on every page once, as the root's tokens are, but in no order: the root is valid without them
+    assert token(f"{at}/div.m/p", "left") not in template.of
+    text = html_text.Layout.of(html_text.Page(rows[1][2])).main_text(template).split("\n")
+    assert sorted(text) == ["left", "own 1", "right"]
+
+
+def test_slots_decide_on_given_pages(spark):
+    """On the driver's pages of hosts with a template, tags of valid classes cut the page into slots, and the text is that of one slot, or of a part of it."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    lay = durable(pages.mapInArrow(html_text._parse, html_text._PARSED))
+    trees = {r.host: html_text.Template(r.template, r.tree) for r in html_text.templates(lay).collect()}
+    rows = [r for r in lay.collect() if r.host in trees]
+    assert len(rows) > 150
+    for r in rows:
+        page = html_text.Layout(r.tokens, r.block, r.texts, r.flags, r.cues)
+        slots = [[r.texts[b] for b in s] for s in page.slots(trees[r.host])]
+        text = page.main_text(trees[r.host]).split("\n")
+        assert len(slots) > 1 and sum(set(text) <= set(s) for s in slots) == 1
 
 
 @pytest.mark.parametrize(
@@ -313,7 +367,7 @@ def test_template_classes(spark):
     ],
 )
 def test_page_text(html, text):
-    assert html_text.Page(html).main_text() == text
+    assert html_text.Layout.of(html_text.Page(html)).main_text() == text
 
 
 def test_template_inside_articles(spark):
@@ -345,7 +399,7 @@ def test_template_inside_articles(spark):
     ],
 )
 def test_cues_leave_wrappers_alone(html, text):
-    assert html_text.Page(html).main_text() == text
+    assert html_text.Layout.of(html_text.Page(html)).main_text() == text
 
 
 def test_template_decides_on_cues_inside_articles(spark):

@@ -198,9 +198,11 @@ def test_temporary_tables_and_views(session):
     session.script("CREATE TEMPORARY TABLE t (a INTEGER, c CHAR(3)); INSERT INTO t VALUES (1, 'ab'); CREATE VIEW v AS SELECT a + 1 AS b FROM t")
     assert rows(session, "SELECT c, b FROM t JOIN v ON TRUE") == [("ab", 2)]
     assert "t" not in session.catalog.managed()
-    session.execute("INSERT INTO t VALUES (1, 'abcd')")
     with pytest.raises(PySparkException):
-        session.sql("SELECT * FROM t").collect()
+        session.execute("INSERT INTO t VALUES (1, 'abcd')")
+    assert rows(session, "SELECT * FROM t") == [(1, "ab")]  # a bad row leaves the table as it was
+    session.execute("INSERT INTO t VALUES " + ", ".join(f"({k}, 'x')" for k in range(300)))
+    assert rows(session, "SELECT COUNT(*) AS n FROM t") == [(301,)]
     session.execute("DROP TABLE t")
     with pytest.raises(errors.UnknownTable):
         session.execute("SELECT * FROM t")
@@ -218,6 +220,18 @@ def test_printing(session):
     assert "63" in show(session.sql("SELECT SUM(a) FROM e2"))
 
 
+def test_show_says_what_it_leaves_out(session):
+    out = show(session.sql("SELECT a FROM e2"), rows=1)
+    n = len(rows(session, "SELECT a FROM e2"))
+    assert out.splitlines()[-1] == f"{n - 1} more rows"
+
+
+def test_explain_and_quotes(session):
+    plan = [r[0] for r in session.sql("EXPLAIN SELECT a FROM e2 WHERE a > 1").collect()]
+    assert any("Physical Plan" in line for line in plan)
+    assert rows(session, "SELECT 'it''s' AS x, 1.0 / -0.0 AS y, 1.0 / 0.0 AS z") == [("it's", float("-inf"), float("inf"))]
+
+
 def test_shell(session):
     from tidewater.__main__ import repl
 

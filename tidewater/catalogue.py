@@ -69,6 +69,17 @@ SQL: dict[str, str | tuple[str, str]] = {
     "fn_atan2": "SELECT l_orderkey, ATAN2(l_quantity, l_tax) AS v FROM lineitem",
     "fn_coalesce": ("SELECT c.c_custkey, COALESCE(o.o_totalprice, 0.0) AS v FROM customer AS c LEFT JOIN orders AS o ON c.c_custkey = o.o_custkey AND o.o_totalprice > 300000", "SELECT c.c_custkey, COALESCE(o.o_totalprice, 0.0::DOUBLE) AS v FROM customer AS c LEFT JOIN orders AS o ON c.c_custkey = o.o_custkey AND o.o_totalprice > 300000"),
     "fn_coalesce_filter": ("SELECT c_custkey FROM customer WHERE COALESCE(c_acctbal, 0.0) > 5000", "SELECT c_custkey FROM customer WHERE COALESCE(c_acctbal, 0.0::DOUBLE) > 5000"),
+    "fn_mod": "SELECT l_orderkey, MOD(l_orderkey, 7) AS v FROM lineitem",
+    "fn_sgn": ("SELECT s_suppkey, SGN(s_acctbal) AS v FROM supplier", "SELECT s_suppkey, SIGN(s_acctbal)::DOUBLE AS v FROM supplier"),
+    # further predicates
+    "filter_like": "SELECT n_name FROM nation WHERE n_name LIKE '%A%' AND n_name NOT LIKE '_A%'",
+    "filter_in": "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_linenumber IN (1, 3) AND l_returnflag NOT IN ('A', 'N')",
+    "filter_in_subquery": "SELECT n_name FROM nation WHERE n_regionkey IN (SELECT r_regionkey FROM region WHERE r_regionkey > 2)",
+    "filter_between": "SELECT l_orderkey, l_quantity FROM lineitem WHERE l_quantity BETWEEN 10 AND 20 AND l_linenumber NOT BETWEEN 2 AND 5",
+    "filter_exists": "SELECT n_name FROM nation WHERE EXISTS (SELECT r_name FROM region WHERE r_regionkey = 1) AND NOT EXISTS (SELECT r_name FROM region WHERE r_regionkey > 100)",
+    "expr_case": "SELECT l_orderkey, CASE WHEN l_quantity > 30 THEN 'many' WHEN l_quantity > 10 THEN 'some' ELSE 'few' END AS v, CASE l_linenumber WHEN 1 THEN 10 WHEN 2 THEN 20 END AS w FROM lineitem",
+    "expr_cast": ("SELECT l_orderkey, CAST(l_orderkey AS VARCHAR(20)) AS a, CAST(l_linenumber AS DOUBLE) AS b, CAST('12' AS INTEGER) AS c FROM lineitem", "SELECT l_orderkey, CAST(l_orderkey AS VARCHAR) AS a, CAST(l_linenumber AS DOUBLE) AS b, CAST('12' AS INTEGER) AS c FROM lineitem"),
+    "string_quote": "SELECT n_name, 'it''s' AS v FROM nation",
     # DISTINCT
     "distinct_rows": "SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem",
     "distinct_all": "SELECT ALL n_regionkey FROM nation",
@@ -86,6 +97,7 @@ SQL: dict[str, str | tuple[str, str]] = {
     "var_samp": ("SELECT l_returnflag, VARIANCE(l_quantity) AS v FROM lineitem GROUP BY l_returnflag", "SELECT l_returnflag, VAR_SAMP(l_quantity) AS v FROM lineitem GROUP BY l_returnflag"),
     "stddev_pop": ("SELECT l_returnflag, STDDEVP(l_quantity) AS v FROM lineitem GROUP BY l_returnflag", "SELECT l_returnflag, STDDEV_POP(l_quantity) AS v FROM lineitem GROUP BY l_returnflag"),
     "var_pop": ("SELECT l_returnflag, VARIANCEP(l_quantity) AS v FROM lineitem GROUP BY l_returnflag", "SELECT l_returnflag, VAR_POP(l_quantity) AS v FROM lineitem GROUP BY l_returnflag"),
+    "stats_distinct_more": ("SELECT AVERAGE(DISTINCT l_linenumber) AS a, MEAN(DISTINCT l_linenumber + 1) AS b, STDDEV(DISTINCT l_linenumber) AS c, STDDEVP(DISTINCT l_linenumber + 1) AS d FROM lineitem", "SELECT AVG(DISTINCT l_linenumber) AS a, AVG(DISTINCT l_linenumber + 1) AS b, STDDEV_SAMP(DISTINCT l_linenumber) AS c, STDDEV_POP(DISTINCT l_linenumber + 1) AS d FROM lineitem"),
     "stats_distinct": ("SELECT MIN(DISTINCT l_linenumber) AS a, MAX(DISTINCT l_linenumber) AS b, VARIANCE(DISTINCT l_linenumber) AS c FROM lineitem", "SELECT MIN(l_linenumber) AS a, MAX(l_linenumber) AS b, VAR_SAMP(DISTINCT l_linenumber) AS c FROM lineitem"),
     "group_by_one": "SELECT l_returnflag, COUNT(*) AS n FROM lineitem GROUP BY l_returnflag",
     "group_by_two": "SELECT l_returnflag, l_linestatus, COUNT(*) AS n, MIN(l_quantity) AS q FROM lineitem GROUP BY l_returnflag, l_linestatus",
@@ -123,6 +135,7 @@ SQL: dict[str, str | tuple[str, str]] = {
     # order and limits
     "order_by": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey",
     "limit_n": "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 10",
+    "limit_zero": "SELECT o_orderkey FROM orders LIMIT 0",
     "limit_offset": "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 10 OFFSET 25",
     # subqueries
     "subquery_scalar": "SELECT n_name, (SELECT COUNT(*) FROM region) AS regions FROM nation",
@@ -156,6 +169,38 @@ def _insert_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """)
 
 
+def _insert_managed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = Session(spark, directory=sf_dir, names=TABLES, database="tidewater_insert")
+    if "foo" in s.catalog.managed():
+        s.execute("DROP TABLE foo")
+    s.script("CREATE TABLE foo (a INTEGER, b DOUBLE, c VARCHAR(20)); INSERT INTO foo VALUES (1, 2, 'x'), (2, 3.5, NULL); INSERT INTO foo (c, a) VALUES ('y', 1 + 2)")
+    return s.sql("SELECT * FROM foo")
+
+
+def _insert_subquery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is inserted is what the query gave at that time."""
+    return session(spark, sf_dir).sql("""
+        CREATE TEMPORARY TABLE m (a INTEGER);
+        CREATE TEMPORARY TABLE c (n BIGINT, r BIGINT);
+        INSERT INTO m VALUES (1), (2);
+        INSERT INTO c VALUES ((SELECT COUNT(*) FROM m), (SELECT COUNT(*) FROM region));
+        INSERT INTO m VALUES (3);
+        SELECT n, r FROM c
+    """)
+
+
+def _coalesce_decimal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return session(spark, sf_dir).sql("""
+        CREATE TEMPORARY TABLE t (a DECIMAL(9, 4), b DECIMAL(18, 2), c BIGINT);
+        INSERT INTO t VALUES (2, NULL, 7), (NULL, 1234567890123456, 8), (NULL, NULL, 9007199254740993);
+        SELECT CAST(COALESCE(a, b) AS DOUBLE) AS x, CAST(COALESCE(a * a, 0) AS DOUBLE) AS y, CAST(COALESCE(a, c) AS BIGINT) AS z FROM t
+    """)
+
+
+def _create_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return session(spark, sf_dir).sql("CREATE VIEW rich AS SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal > 5000; SELECT COUNT(*) AS n, MAX(c_acctbal) AS m FROM rich")
+
+
 def _create_drop_show(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = Session(spark, database="tidewater_catalogue")
     for name in s.catalog.managed():
@@ -166,7 +211,7 @@ def _create_drop_show(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = {name: _query(text if isinstance(text, str) else text[0]) for name, text in SQL.items()}
-    return own | {"values_rows": _values, "insert_roundtrip": _insert_roundtrip, "create_drop_show": _create_drop_show}
+    return own | {"values_rows": _values, "insert_roundtrip": _insert_roundtrip, "insert_managed": _insert_managed, "insert_subquery": _insert_subquery, "coalesce_decimal": _coalesce_decimal, "create_view": _create_view, "create_drop_show": _create_drop_show}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -174,5 +219,9 @@ def oracle_sql() -> dict[str, str]:
     return own | {
         "values_rows": "SELECT * FROM (VALUES (3, 4), (4, 5)) AS v(foo, bar)",
         "insert_roundtrip": "SELECT * FROM (VALUES (1::INTEGER, 2::FLOAT, 'x'), (2, 3.5::FLOAT, NULL), (3, NULL, 'y')) AS v(a, b, c)",
+        "insert_managed": "SELECT * FROM (VALUES (1::INTEGER, 2::DOUBLE, 'x'), (2, 3.5::DOUBLE, NULL), (3, NULL, 'y')) AS v(a, b, c)",
+        "insert_subquery": "SELECT 2::BIGINT AS n, (SELECT COUNT(*) FROM region) AS r",
+        "coalesce_decimal": "SELECT * FROM (VALUES (2::DOUBLE, 4::DOUBLE, 2::BIGINT), (1234567890123456::DOUBLE, 0::DOUBLE, 8), (NULL, 0::DOUBLE, 9007199254740993)) AS v(x, y, z)",
+        "create_view": "SELECT COUNT(*) AS n, MAX(c_acctbal) AS m FROM customer WHERE c_acctbal > 5000",
         "create_drop_show": """SELECT * FROM (VALUES ('buz'), ('foo')) AS v("TABLE NAME")""",
     }

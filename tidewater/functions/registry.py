@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ..errors import ArityError, TypeMismatch, UnknownFunction
 from .typed import INTEGRAL, Typed, common, numeric
+from .typed import _decimal as bounded
 
 _DOUBLE = T.DoubleType()
 
@@ -78,8 +79,20 @@ def scalar(name: str, args: list[Typed]) -> Typed:
     return build(*args)
 
 
-def aggregate(name: str, distinct: bool, column: str | None, kind: T.DataType | None) -> Column:
-    """The aggregate over a named column, or over rows if column is None.
+def result(name: str, kind: T.DataType | None) -> T.DataType:
+    """The type of an aggregate over a column of type `kind`."""
+    if name == "COUNT":
+        return T.LongType()
+    if name in ("MIN", "MAX"):
+        return kind
+    if isinstance(kind, T.DecimalType) and _AGGREGATE[name] in ("sum", "avg"):
+        more = 10 if name == "SUM" else 4
+        return bounded(kind.precision + more, kind.scale + (0 if name == "SUM" else 4))
+    return T.LongType() if name == "SUM" and isinstance(kind, INTEGRAL) else _DOUBLE
+
+
+def aggregate(name: str, distinct: bool, column: Column | str | None, kind: T.DataType | None) -> Column:
+    """The aggregate over a column, by name where `needs_name`, or over rows if column is None.
 
     DISTINCT changes nothing for MIN and MAX.  SUM keeps Spark's wider result type.
     """
@@ -90,4 +103,10 @@ def aggregate(name: str, distinct: bool, column: str | None, kind: T.DataType |
         return F.count(F.lit(1))
     if name not in ("COUNT", "MIN", "MAX") and not isinstance(kind, (T.NumericType, T.NullType)):
         raise TypeMismatch(f"{name} needs a number, not {kind.simpleString()}")
-    return F.expr(f"{function}({'DISTINCT ' if distinct and name not in ('MIN', 'MAX') else ''}`{column}`)")
+    if needs_name(name, distinct):
+        return F.expr(f"{function}(DISTINCT `{column}`)")
+    return getattr(F, function)(column)
+
+
+def needs_name(name: str, distinct: bool) -> bool:
+    return distinct and name not in ("MIN", "MAX")

@@ -71,6 +71,38 @@ class Subquery(Expr):
     select: Select
 
 
+@dataclass(frozen=True)
+class Like(Expr):
+    operand: Expr
+    pattern: Expr
+
+
+@dataclass(frozen=True)
+class In(Expr):
+    """One of several values, or of the rows of a query."""
+
+    operand: Expr
+    among: tuple
+
+
+@dataclass(frozen=True)
+class Exists(Expr):
+    select: Select
+
+
+@dataclass(frozen=True)
+class Case(Expr):
+    arms: tuple[tuple[Expr, Expr], ...]
+    other: Expr
+
+
+@dataclass(frozen=True)
+class Cast(Expr):
+    operand: Expr
+    kind: str
+    sizes: tuple[int, ...]
+
+
 @dataclass(frozen=True)
 class Item:
     expr: Expr
@@ -138,6 +170,11 @@ class Insert:
     rows: tuple[tuple[Expr, ...], ...]
 
 
+@dataclass(frozen=True)
+class Explain:
+    select: Select
+
+
 @dataclass(frozen=True)
 class Show:
     what: str
@@ -152,6 +189,14 @@ def children(e: Expr) -> tuple[Expr, ...]:
             return (a,)
         case Logic(_, many):
             return many
+        case Like(a, b):
+            return (a, b)
+        case In(a, among):
+            return (a, *(x for x in among if isinstance(x, Expr)))
+        case Case(arms, other):
+            return (*(x for arm in arms for x in arm), other)
+        case Cast(a, _, _):
+            return (a,)
         case Call(_, _, args):
             return args
     return ()

@@ -13,7 +13,7 @@ _TOKEN = re.compile(
       | (?P<double>[0-9]+\.[0-9]*(?:[eE][+-]?[0-9]+)?|\.[0-9]+(?:[eE][+-]?[0-9]+)?|[0-9]+[eE][+-]?[0-9]+)
       | (?P<long>[0-9]+L(?![A-Za-z0-9_]))
       | (?P<int>[0-9]+)
-      | (?P<string>'[^'\n]*')
+      | (?P<string>'(?:[^'\n]|'')*')
       | (?P<quoted>"[^"\n]+")
       | (?P<word>[A-Za-z_][A-Za-z0-9_]*)
       | (?P<sign><>|!=|<=|>=|==|[=<>+*/%().,;-])""",

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 
 from .errors import NotSupported
@@ -46,7 +44,9 @@ class Session:
 
     def explain(self, sql: str) -> str:
         """Spark's formatted plan of a SELECT."""
-        df = self.sql(sql)
+        return self.plan(self.sql(sql))
+
+    def plan(self, df: DataFrame) -> str:
         return df._jdf.queryExecution().explainString(self.spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
 
     def run(self, statement) -> DataFrame | None:
@@ -61,10 +61,10 @@ class Session:
             case ast.DropTable(name):
                 self.catalog.drop(name)
             case ast.Insert(table, columns, rows):
-                made = [binder.select(ast.Select(tuple(ast.Item(e, f"v{k}") for k, e in enumerate(row)))) for row in rows]
-                if len({len(m.columns) for m in made}) > 1:
-                    raise NotSupported("rows of different lengths")
-                self.catalog.insert(table, columns or None, reduce(DataFrame.union, made))
+                self.catalog.insert(table, columns or None, [[binder.lower(e, (), place="in VALUES") for e in row] for row in rows])
+            case ast.Explain(select):
+                plan = self.plan(binder.select(select))
+                return self.spark.createDataFrame([(line,) for line in plan.splitlines()], "`PLAN` string")
             case ast.Show("TABLES"):
                 return self.spark.createDataFrame([(n,) for n in self.catalog.names()], "`TABLE NAME` string")
             case ast.Show(what):

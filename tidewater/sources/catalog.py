@@ -9,20 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import ArityError, BindError, DuplicateName, NotSupported, TableExists, TypeMismatch, UnknownColumn, UnknownTable
-
-_SIMPLE = {"TINYINT": "tinyint", "SMALLINT": "smallint", "INTEGER": "int", "INT": "int", "BIGINT": "bigint", "FLOAT": "float", "DOUBLE": "double", "TEXT": "string", "BLOB": "binary", "DATETIME": "timestamp_ntz", "DATE": "date", "TIMESTAMP": "timestamp"}
-
-
-def type_name(kind: str, sizes: tuple[int, ...]) -> str:
-    """Spark's name of a column type.  CHAR is a VARCHAR, so that no blanks are added."""
-    if kind in _SIMPLE:
-        return _SIMPLE[kind]
-    if kind in ("CHAR", "VARCHAR"):
-        return f"varchar({sizes[0]})"
-    if kind in ("DECIMAL", "NUMERIC"):
-        return f"decimal({', '.join(map(str, sizes or (10, 0)))})"
-    raise NotSupported(f"columns of type {kind}")
-
+from ..functions.typed import Typed
+from .types import type_name
 
 class Catalog:
     """Tables by name, whatever its case.
@@ -35,13 +23,14 @@ class Catalog:
         self.spark, self.database = spark, database
         self.views: dict[str, tuple[str, DataFrame]] = {}
         self.files: dict[str, tuple[str, str]] = {}
-        self.rows: dict[str, tuple[str, T.StructType, list[DataFrame]]] = {}
-        spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`")
+        self.rows: dict[str, tuple[str, T.StructType, list[tuple]]] = {}
 
     def _full(self, name: str) -> str:
         return f"`{self.database}`.`{name}`"
 
     def managed(self) -> list[str]:
+        if not self.spark.catalog.databaseExists(self.database):
+            return []
         return [t.name for t in self.spark.catalog.listTables(self.database) if not t.isTemporary]
 
     def names(self) -> list[str]:
@@ -63,11 +52,8 @@ class Catalog:
         if key in self.views:
             return self.views[key][1]
         if key in self.rows:
-            _, schema, parts = self.rows[key]
-            df = self.spark.createDataFrame([], _plain(schema))
-            for part in parts:
-                df = df.unionByName(part)
-            return df
+            _, schema, held = self.rows[key]
+            return self.spark.createDataFrame(held, _plain(schema))
         if key in map(str.lower, self.managed()):
             return self.spark.table(self._full(name))
         raise UnknownTable(name)
@@ -86,6 +72,7 @@ class Catalog:
         if temporary:
             self.rows[name.lower()] = (name, T.StructType.fromDDL(ddl), [])
         else:
+            self.spark.sql(f"CREATE DATABASE IF NOT EXISTS `{self.database}`")
             self.spark.sql(f"CREATE TABLE {self._full(name)} ({ddl}) USING parquet")
 
     def drop(self, name: str) -> None:
@@ -100,52 +87,52 @@ class Catalog:
         else:
             raise UnknownTable(name)
 
-    def insert(self, name: str, columns: tuple[str, ...] | None, rows: DataFrame) -> None:
-        """Append rows, whose columns go to those named, or to all in order; the others get NULL."""
+    def insert(self, name: str, columns: tuple[str, ...] | None, rows: list[list[Typed]]) -> None:
+        """Append rows of values, which go to the columns named, or to all in order; the others get NULL.
+
+        Values are computed and checked here, in one query for all rows of the statement.
+        """
         target = self.table(name)
         if name.lower() in self.views:
             raise NotSupported(f"{name} is registered from elsewhere; it can't be changed here")
-        order = [f.name for f in target.schema.fields]
+        temporary = name.lower() in self.rows
+        fields = self.rows[name.lower()][1].fields if temporary else target.schema.fields
         if columns is None:
-            columns = tuple(order)
-        known = {c.lower(): c for c in order}
+            columns = tuple(f.name for f in fields)
+        known = {f.name.lower(): f.name for f in fields}
         if missing := [c for c in columns if c.lower() not in known]:
             raise UnknownColumn(f"{name}.{missing[0]}")
         if len({c.lower() for c in columns}) < len(columns):
             raise DuplicateName("a column is named twice")
-        if len(columns) != len(rows.columns):
-            raise ArityError(f"{len(columns)} columns and {len(rows.columns)} values")
+        if wrong := [r for r in rows if len(r) != len(columns)]:
+            raise ArityError(f"{len(columns)} columns and {len(wrong[0])} values")
         given = {known[c.lower()]: k for k, c in enumerate(columns)}
-        out = []
-        for f in target.schema.fields:
-            if f.name not in given:
-                out.append(F.lit(None).cast(f.dataType).alias(f.name))
-                continue
-            source = rows.schema[given[f.name]]
-            _storable(source.dataType, f)
-            out.append(F.col(source.name).cast(f.dataType if not isinstance(f.dataType, T.VarcharType) else "string").alias(f.name))
-        df = rows.select(*out)
-        if name.lower() in self.rows:
-            _, schema, parts = self.rows[name.lower()]
-            parts.append(df.select(*map(_bounded, schema.fields)))
+        made = F.array(*(F.struct(*(_stored(row[given[f.name]] if f.name in given else None, f).alias(f.name) for f in fields)) for row in rows))
+        df = self.spark.range(1).select(F.inline(made))
+        if temporary:
+            self.rows[name.lower()][2].extend(map(tuple, df.collect()))  # as many as the statement lists
         else:
             df.write.insertInto(self._full(name))
 
 
+def _stored(value: Typed | None, field: T.StructField):
+    """The value as the column's type; a text beyond a VARCHAR's length is an error."""
+    to = T.StringType() if isinstance(field.dataType, T.VarcharType) else field.dataType
+    if value is None:
+        return F.lit(None).cast(to)
+    _storable(value.type, field)
+    c = value.column.cast(to)
+    if isinstance(field.dataType, T.VarcharType):
+        error = F.raise_error(F.lit(f"a value is too long for {field.name}"))
+        c = F.when(F.length(c) > field.dataType.length, error).otherwise(c)
+    return c
+
+
 def _plain(schema: T.StructType) -> T.StructType:
     """VARCHAR as STRING, which is what DataFrames hold."""
     return T.StructType([T.StructField(f.name, T.StringType() if isinstance(f.dataType, T.VarcharType) else f.dataType) for f in schema.fields])
 
 
-def _bounded(field: T.StructField):
-    """The column, failing on texts beyond a VARCHAR's length as managed tables do."""
-    c = F.col(field.name)
-    if not isinstance(field.dataType, T.VarcharType):
-        return c
-    error = F.raise_error(F.lit(f"a value is too long for {field.name}"))
-    return F.when(F.length(c) > field.dataType.length, error).otherwise(c).alias(field.name)
-
-
 def _storable(kind: T.DataType, field: T.StructField) -> None:
     to = field.dataType
     number = isinstance(kind, T.NumericType) and isinstance(to, T.NumericType)

@@ -23,5 +23,7 @@ def text_table(header: list[str], rows: list[list]) -> str:
 
 
 def show(df: DataFrame, rows: int = 1000) -> str:
-    """The first rows of a result; what the driver takes is bounded by `rows`."""
-    return text_table(df.columns, [list(r) for r in df.take(rows)])
+    """The first rows of a result, and how many more there are; what the driver takes is bounded by `rows`."""
+    first = [list(r) for r in df.take(rows + 1)]
+    out = text_table(df.columns, first[:rows])
+    return f"{out}\n{df.count() - rows} more rows" if len(first) > rows else out

@@ -72,7 +72,7 @@ SQL: dict[str, str | tuple[str, str]] = {
     "fn_mod": "SELECT l_orderkey, MOD(l_orderkey, 7) AS v FROM lineitem",
     "fn_sgn": ("SELECT s_suppkey, SGN(s_acctbal) AS v FROM supplier", "SELECT s_suppkey, SIGN(s_acctbal)::DOUBLE AS v FROM supplier"),
     # further predicates
-    "filter_like": "SELECT n_name FROM nation WHERE n_name LIKE '%A%' AND n_name NOT LIKE '_A%'",
+    "filter_like": "SELECT n_name FROM nation WHERE n_name LIKE '%1_' AND n_name NOT LIKE '%_12'",
     "filter_in": "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_linenumber IN (1, 3) AND l_returnflag NOT IN ('A', 'N')",
     "filter_in_subquery": "SELECT n_name FROM nation WHERE n_regionkey IN (SELECT r_regionkey FROM region WHERE r_regionkey > 2)",
     "filter_between": "SELECT l_orderkey, l_quantity FROM lineitem WHERE l_quantity BETWEEN 10 AND 20 AND l_linenumber NOT BETWEEN 2 AND 5",

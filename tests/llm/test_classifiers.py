@@ -183,3 +183,14 @@ def test_all_unlabelled_documents_take_part(spark):
     told = quality_classifier.Told(models, [[(0, 0.0, 0, 0.0)] * 2] * 2)
     newton = quality_classifier._newton(told, models)
     assert pool.add(newton) == pytest.approx(quality_classifier.Arrays(np.stack(texts), np.stack(metas)).add(newton))
+    # a round's steps read only the rows that some model labels, with the same sums
+    ends = [[int(np.searchsorted(np.cumsum(c), part * c.sum())) for part in (0.95, 0.05)] for c in pool.add(counts).reshape(4, -1)]
+    some = quality_classifier.Told(models, [[(high, 0.1, low, 0.1) for high, low in ends[t : t + 2]] for t in (0, 2)])
+    chosen = pool.only(some)
+    assert 0 < chosen.table.count() < pool.rows
+    newton = quality_classifier._newton(some, models)
+    assert chosen.add(newton) == pytest.approx(pool.add(newton))
+    # with nothing to label the sums are zero
+    none = quality_classifier.Told(models, [[(2 * quality_classifier.END, 0.0, -1, 0.0)] * 2] * 2)
+    nothing = pool.only(none)
+    assert nothing.table.count() == 0 and not nothing.add(quality_classifier._newton(none, models)).any()

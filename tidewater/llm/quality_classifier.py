@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, small, tidy
+from .common import durable, forget, small, tidy
 from .linear import labelled_sample, linear, logistic, sigmoid
 
 #: The most labelled documents that are fitted on.
@@ -103,6 +103,13 @@ class Told:
                 rows = np.flatnonzero(good | (b < low) | ((b == low) & (place < less)))
                 yield t, k, rows, good[rows].astype(float)
 
+    def any(self, views, place) -> np.ndarray:
+        """Whether any view of any model labels the row."""
+        out = np.zeros(len(place), bool)
+        for _, _, rows, _ in self(views, place):
+            out[rows] = True
+        return out
+
 
 def _bins(weights, views) -> list[np.ndarray]:
     """Numbers of the bins of each row's log-odds, by view: a column for each model."""
@@ -141,19 +148,44 @@ def _gradient(x, y, weight, w):
 class Arrays:
     """Unlabelled rows in memory."""
 
-    def __init__(self, text, meta):
+    def __init__(self, text, meta, place=None):
         self.views, self.rows = (text, meta), len(text)
-        self.place = np.arange(self.rows) * 0.6180339887498949 % 1
+        self.place = np.arange(self.rows) * 0.6180339887498949 % 1 if place is None else place
 
     def add(self, function) -> np.ndarray:
         return function(self.views, self.place)
 
+    def only(self, told: Told) -> Arrays:
+        kept = told.any(self.views, self.place)
+        return Arrays(*(v[kept] for v in self.views), self.place[kept])
+
+    def forget(self) -> None:
+        pass
+
+
+def _stored_views(batch) -> list[np.ndarray]:
+    return [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.float32).reshape(batch.num_rows, -1) for c in ("text_view", "meta_view")]
+
 
 class Stored:
     """Unlabelled rows in a table of views; function's results are added up by chunks, so that no task and not the driver holds those of all tasks."""
 
-    def __init__(self, table: DataFrame):
-        self.table, self.rows = table, table.count()
+    def __init__(self, table: DataFrame, rows: int | None = None):
+        self.table, self.rows = table, table.count() if rows is None else rows
+
+    def only(self, told: Told) -> Stored:
+        """The rows that `told` labels for any model, in a table of their own: a round's steps read only these."""
+
+        @tidy
+        def run(batches):
+            for batch in batches:
+                if batch.num_rows:
+                    yield batch.filter(pa.array(told.any(_stored_views(batch), np.asarray(batch.column("place")))))
+
+        return Stored(durable(self.table.mapInArrow(run, self.table.schema)), self.rows)
+
+    def forget(self) -> None:
+        forget(self.table)
 
     def add(self, function) -> np.ndarray:
         @tidy
@@ -161,8 +193,7 @@ class Stored:
             total = 0
             for batch in batches:
                 if batch.num_rows:
-                    views = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.float32).reshape(batch.num_rows, -1) for c in ("text_view", "meta_view")]
-                    total = total + function(views, np.asarray(batch.column("place")))
+                    total = total + function(_stored_views(batch), np.asarray(batch.column("place")))
             if isinstance(total, np.ndarray):
                 parts = [total[at : at + CHUNK].tobytes() for at in range(0, len(total), CHUNK)]
                 yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], ["chunk", "part"])
@@ -173,6 +204,8 @@ class Stored:
 
         schema = "chunk int, part binary"
         found = self.table.mapInArrow(run, schema).groupBy("chunk").applyInArrow(merge, schema).collect()
+        if not found:  # no rows
+            return function([np.zeros((0, TEXT_WIDTH), np.float32), np.zeros((0, META_WIDTH), np.float32)], np.zeros(0))
         return np.concatenate([np.frombuffer(r.part) for r in sorted(found, key=lambda r: r.chunk)])
 
 
@@ -200,8 +233,9 @@ def _exchanges(views, y, weights, pool, rounds=ROUNDS):
                 cuts[t].append((2 * END - 1 - a, more, b, less))
         told = Told(models, cuts)
         models = [list(m) for m in models]
+        chosen = pool.only(told)
         for _ in range(STEPS):
-            flat, at, far = pool.add(_newton(told, models)), 0, 0.0
+            flat, at, far = chosen.add(_newton(told, models)), 0, 0.0
             for t, w in enumerate(weights):
                 for k, v in enumerate(views):
                     d = v.shape[1] + 1
@@ -216,6 +250,7 @@ def _exchanges(views, y, weights, pool, rounds=ROUNDS):
                     at += d + d * (d + 1) // 2
             if far < 1e-6:
                 break
+        chosen.forget()
     return models
 
 

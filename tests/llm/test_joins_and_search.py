@@ -71,7 +71,7 @@ def test_shingles_are_whole_and_lower_cased():
     assert all((sliced[k] == got[4 + k]).all() for k in range(3))
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1, 2, 3])
 def test_join_is_exact(spark, seed, monkeypatch):
     rng = random.Random(seed)
     rows = list(enumerate(corpus(rng, 220)))
@@ -81,6 +81,9 @@ def test_join_is_exact(spark, seed, monkeypatch):
         monkeypatch.setattr(jaccard_join, "BLOCK", 4)  # groups beyond a block are joined block by block
         monkeypatch.setattr(common, "HOT", 3)  # and hot keys apart from others
         monkeypatch.setattr(common, "fits", lambda df, *_: False)
+    if seed == 3:
+        monkeypatch.setattr(jaccard_join, "WHOLE", 2)  # groups of a few classes are dealt into blocks too
+        monkeypatch.setattr(jaccard_join, "SPREAD", 3)
     docs = spark.createDataFrame([(d, t, "x", 1, 2, 3) for d, t in rows], "doc_id long, text string, key string, n long, id long, `row` int").repartition(5)
     got = Counter((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in jaccard_join.jaccard_components(docs).collect())
     assert got == brute_join(rows)

@@ -13,7 +13,8 @@ Plan:
    give candidate groups.
 4. In each group the sets are stored in a trie, which all members traverse together, sharing
    partial overlaps; subtrees that can't reach the needed overlap are pruned.  Groups beyond
-   `BLOCK` classes are joined block by block, so a task holds two blocks at most.
+   `WHOLE` classes are joined block by block, in a task for each pair of blocks; a block has
+   at most about `BLOCK` classes, so a task holds two of them.
 5. Links give components; each class's links are counted, copies included.
 """
 
@@ -27,8 +28,11 @@ from pyspark.sql import functions as F
 
 from .common import components, durable, forget, join_hot, shingle_sets, signed, small, tidy
 
-#: Classes of a candidate group that a task holds as one side of the join.
+#: Classes of a candidate group that a task holds as one side of the join, at most.
 BLOCK = 1024
+#: Groups of up to so many classes are joined whole, and small ones together in units of about as many; larger ones are
+#: dealt into blocks of about as many, up to SPREAD of them, and into more once these would pass BLOCK.
+WHOLE, SPREAD = 256, 8
 #: Shingles that one task of the counting step receives, about, and its least number of tasks.
 #: With that many, a class has few shingles in a task at any size, so the counts sent on grow as the input.
 PART_ROWS, LEAST_PARTS = 1_000_000, 64
@@ -264,8 +268,9 @@ def link_classes(docs: DataFrame, described: DataFrame, num: int = 3, den: int =
     groups = components(join_hot(prefix, stars, "token").select(F.col("key").alias("a"), F.col("low").alias("b")))
     groups = durable(groups)
     sizes = durable(groups.groupBy("component").agg(F.count("*").alias("size")).withColumn("n", F.col("size")))
-    bins = max(1, -(-groups.count() // (2 * BLOCK)))
-    member = join_hot(groups, sizes, "component").join(held.withColumnRenamed("key", "node"), "node").withColumn("blocks", F.expr(f"cast((size + {BLOCK - 1}) div {BLOCK} as int)"))
+    bins = max(1, -(-groups.count() // WHOLE))
+    blocks = f"greatest(least({SPREAD}, ceil(size / {WHOLE})), ceil(size / {BLOCK}))"
+    member = join_hot(groups, sizes, "component").join(held.withColumnRenamed("key", "node"), "node").withColumn("blocks", F.expr(f"cast({blocks} as int)"))
     member = member.withColumn("own", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
     one = member.where("blocks = 1").select(F.expr(f"pmod(xxhash64(component), {bins})").alias("unit"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("block"), F.col("node").alias("key"), "n", "copies", "tokens", "dfs", "blocks")
     more = member.where("blocks > 1").withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select(F.col("component").alias("unit"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("own").alias("block"), F.col("node").alias("key"), "n", "copies", "tokens", "dfs", "blocks")

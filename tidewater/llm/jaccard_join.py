@@ -298,9 +298,12 @@ def jaccard_components(docs: DataFrame, num: int = 3, den: int = 4) -> DataFrame
     near = found.where("whole and links > 0").select("key", F.col("root").alias("component"))
     split = found.where("not whole and key <> root").select(F.col("key").alias("a"), F.col("root").alias("b"))
     near = near.unionByName(components(split).select(F.col("node").alias("key"), "component"))
-    links = found.groupBy("key").agg(F.sum("links").alias("links"))
-    whole = classes.where("copies > 1").select("key").unionByName(near.select("key")).distinct()
-    whole = classes.join(whole, "key", "left_semi").join(near, "key", "left").join(links, "key", "left")
+    # one row a class: a single aggregation, which combines before its shuffle, in place of joins
+    facts = classes.select("key", "lowest", "copies", F.lit(None).cast("long").alias("component"), F.lit(0).alias("links"))
+    for more in (near, found.select("key", "links")):
+        facts = facts.unionByName(more, allowMissingColumns=True)
+    whole = facts.groupBy("key").agg(F.min("lowest").alias("lowest"), F.max("copies").alias("copies"), F.min("component").alias("component"), F.sum("links").alias("links"))
+    whole = whole.where("copies > 1 or component is not null")
     whole = durable(whole.select("key", "lowest", F.coalesce("component", "key").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "copies"))
     ids = durable(whole.groupBy("component").agg(F.min("lowest").alias("component_id"), F.count("*").alias("n")))
     known = join_hot(whole.select("component", "key", "n_links", "copies"), ids, "component").select("key", "component_id", "n_links", F.col("copies").alias("n"))

@@ -259,3 +259,38 @@ def test_shards_lose_no_rows(monkeypatch):
     monkeypatch.setattr(bm25.pa, "Table", Split)
     for rows in (8, 9):  # with and without a rest
         assert [i for b in bm25._gathered(iter(batches), rows) for i in b.column("doc_id").to_pylist()] == list(range(24))
+
+
+@pytest.mark.parametrize(("dense", "few"), [(3, 0), (24, 4), (1000, 4)])
+def test_queries_are_searched_together(dense, few, monkeypatch):
+    """One pass over a shard finds for many queries what brute force finds, with and without thresholds, whatever is in matrices."""
+    monkeypatch.setattr(bm25, "DENSE", dense)
+    monkeypatch.setattr(bm25, "FEW", few)
+    monkeypatch.setattr(bm25, "TOGETHER", 50)
+    monkeypatch.setattr(bm25, "THIN", 2000)
+    rng = random.Random(8)
+    texts = [*corpus(rng, 1100), None, ""]
+    shard = shard_of(texts)
+    every, limits, ends, terms, weights = [], [], [0], [], []
+    for q in range(0, 1102, 9):
+        own = np.flatnonzero(np.isin(shard.terms, bm25._postings(pa.array([texts[q]], pa.string()))[1]))
+        idf = np.log1p((shard.docs - shard.df[own] + 0.5) / (shard.df[own] + 0.5))
+        every.append(shard._add(own, idf, np.ones(shard.blocks, bool)))
+        limits.append((0.0, 0.4, 1.0)[q % 3] * np.sort(every[-1])[-4])
+        ends.append(ends[-1] + len(own))
+        terms.append(own)
+        weights.append(idf)
+    found = {q: (docs, score) for q, docs, score in shard.search_all(np.array(ends), np.concatenate(terms), np.concatenate(weights), 4, np.array(limits))}
+    for q, (scores, limit) in enumerate(zip(every, limits, strict=True)):
+        docs, score = found.get(q, (np.empty(0, int), np.empty(0)))
+        assert (score == scores[docs]).all()
+        must = np.flatnonzero((scores >= max(limit, np.sort(scores)[-4])) & (scores > 0))  # those tied with the fourth too
+        assert set(must) <= set(docs) and (score >= limit).all()
+
+
+def test_index_is_narrow():
+    """Numbers of the index take the bytes that the largest one needs, and come back as they were."""
+    for values, size in (([], 1), ([0, 255], 1), ([3, 256], 2), ([1 << 20], 4), ([1 << 40], 8)):
+        content = bm25._stored("rows", np.array(values, np.int64))
+        assert len(content) == 1 + size * len(values)
+        assert bm25._loaded("rows", pa.py_buffer(content)).tolist() == values

@@ -6,12 +6,14 @@ of a shard are renumbered, those with the same commonest term together and by le
 that blocks of neighbours are alike.  Document frequencies and the average length come from
 the index.
 
-Search.  A term's postings are cut into blocks of DOC_BLOCK neighbouring documents, each with
-its largest impact.  A query's pivots are the blocks in which the block maxima of its terms
-add up to the threshold; the cursors of all terms skip to them, and no document elsewhere is
-scored.  In the pivots the rarer lists are read first; the common ones follow only to the
-blocks of documents that can still reach the threshold with the block maxima of these terms.
-All pivots of a shard are found and read at once, in array operations.
+Search.  Queries of a block are searched in a shard together.  The documents are cut into
+blocks of DOC_BLOCK neighbours and tiles of some blocks.  In a tile the commoner terms are
+rows of a matrix, with their largest impact in each block; the rarer ones stay in lists.  The
+rare lists are read first.  A query's pivots are the blocks in which its best sum so far and
+the block maxima add up to the threshold.  Only in the tiles with pivots, and only for the
+queries that have them there, the common terms follow, as one product of matrices; where a
+few documents of a tile can reach the threshold, these alone are scored.  Products are in
+single precision with a margin; what passes is scored exactly.
 
 Waves.  The first wave searches a few shards; each further one eight times as many, with the
 k-th best score so far as the starting threshold of each query.  So a wave's tasks emit about
@@ -28,13 +30,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, durable, mix, signed, text_chunks, tidy, word_hashes
+from .common import BATCH_ROWS, Scratch, durable, mix, signed, text_chunks, tidy, word_hashes
 
 K1, B, TOP = 1.2, 0.75, 10
 #: Queries, and distinct terms of all of them, about, that are searched in one pass.
-QUERY_BLOCK, TERM_BLOCK = 2048, 2_000_000
-#: Documents of a block of postings; the part of a shard's documents up to which a term's list drives pivots; words by which documents are grouped.
-DOC_BLOCK, RARE, LEADS = 64, 0.3, 64
+QUERY_BLOCK, TERM_BLOCK = 8192, 3_000_000
+#: Documents of a block of postings; words by which documents are grouped.
+DOC_BLOCK, LEADS = 64, 64
+#: Documents of a tile; postings of a term in one from which on they are a row of its matrix.
+TILE, DENSE = 8 * DOC_BLOCK, 24
+#: Queries that a shard searches together; postings of thin lists that are added at once, about; documents of a tile up to which each is scored by itself.
+TOGETHER, THIN, FEW = 512, 1 << 16, 4
 #: Documents of a shard, and bytes at which it is closed with fewer.
 SHARD_ROWS, SHARD_BYTES = 8000, 48 << 20
 #: Each wave has so many times the shards of all before it, about.
@@ -76,6 +82,8 @@ def _slices(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 _INDEX = "place double, docs long, words long, known long, ids binary, lengths binary, terms binary, ends binary, rows binary, counts binary"
 _KINDS = {"ids": np.int64, "lengths": np.int64, "terms": np.uint64, "ends": np.int64, "rows": np.uint32, "counts": np.uint32}
+#: Columns that are stored in as few bytes a number as their largest needs, a last byte says how many.
+_NARROW = ("lengths", "ends", "rows", "counts")
 
 
 def built(ids: pa.Array, texts: pa.Array) -> dict:
@@ -110,114 +118,210 @@ def built(ids: pa.Array, texts: pa.Array) -> dict:
     }
 
 
+def _stored(name: str, values: np.ndarray) -> bytes:
+    if name not in _NARROW:
+        return values.astype(_KINDS[name]).tobytes()
+    kind = np.min_scalar_type(int(values.max()) if len(values) else 0)
+    return values.astype(kind).tobytes() + bytes([kind.itemsize])
+
+
+def _loaded(name: str, content: pa.Buffer) -> np.ndarray:
+    if name not in _NARROW:
+        return np.frombuffer(content, _KINDS[name])
+    size = memoryview(content)[-1]
+    return np.frombuffer(content, f"u{size}", (len(content) - 1) // size)
+
+
 @tidy
 def _index(batches):
     part = TaskContext.get().partitionId()
     for k, batch in enumerate(_gathered(batches, SHARD_ROWS)):
         shard = built(batch.column("doc_id"), batch.column("text"))
         at = int(mix(np.array([(part << 24) + k + 1], np.uint64))[0]) / 2.0**64
-        row = {"place": at} | {c: v.astype(_KINDS[c]).tobytes() if c in _KINDS else v for c, v in shard.items()}
+        row = {"place": at} | {c: _stored(c, v) if c in _KINDS else v for c, v in shard.items()}
         yield pa.RecordBatch.from_arrays([pa.array([v]) for v in row.values()], list(row))
 
 
 def _read(batch: pa.RecordBatch, columns):
     """The shards of a batch, one at a time."""
     for k in range(batch.num_rows):
-        yield {c: np.frombuffer(batch.column(c)[k].as_buffer(), _KINDS[c]) if c in _KINDS else batch.column(c)[k].as_py() for c in columns}
+        yield {c: _loaded(c, batch.column(c)[k].as_buffer()) if c in _KINDS else batch.column(c)[k].as_py() for c in columns}
 
 
 @tidy
 def _frequencies(batches):
     for batch in batches:
         for shard in _read(batch, ("terms", "ends")):
-            yield from pa.table({"term": signed(shard["terms"]), "df": np.diff(shard["ends"])}).to_batches(50_000)
+            yield from pa.table({"term": signed(shard["terms"]), "df": np.diff(shard["ends"].astype(np.int64))}).to_batches(50_000)
 
 
 class Shard:
-    """A shard's postings with their impacts, and the block maxima of each term."""
+    """A shard's postings with their impacts.
+
+    The documents are cut into tiles of TILE.  The postings that a term has in a tile are a
+    row of the tile's matrix if they are DENSE or more; all others stay in the term's thin
+    list.  Block maxima are those of the matrices' rows.
+    """
 
     def __init__(self, shard: dict, average: float):
         self.ids, self.known, self.docs, self.terms = shard["ids"], shard["known"], shard["docs"], shard["terms"]
-        self.row, self.ends = shard["rows"].astype(np.int64), shard["ends"]
+        self.row, self.ends = shard["rows"].astype(np.int32), shard["ends"].astype(np.int64)
         self.df = np.diff(self.ends)
-        tf = shard["counts"].astype(np.float64)
         norm = K1 * (1 - B + B * shard["lengths"] / average)
+        tf = shard["counts"].astype(np.float64)
         self.impact = tf * (K1 + 1) / (tf + norm[self.row])
+        del tf
         self.of = np.arange(self.docs) // DOC_BLOCK
         self.blocks = -(-self.docs // DOC_BLOCK)
-        cell = np.repeat(np.arange(len(self.df)), self.df) * max(self.blocks, 1) + self.row // DOC_BLOCK
+        self.tiles = max(-(-self.docs // TILE), 1)
+        term_of = np.repeat(np.arange(len(self.df), dtype=np.int32), self.df)
+        cell = term_of.astype(np.int64) * self.tiles + self.row // TILE
         new = np.ones(len(cell), bool)
         new[1:] = cell[1:] != cell[:-1]
         first = np.flatnonzero(new)
-        #: Of each block of a term's postings: its number, largest impact, first posting; and each term's first block.
-        self.b_block = cell[first] % max(self.blocks, 1)
-        self.b_max = np.maximum.reduceat(self.impact, first) if len(first) else np.empty(0)
-        self.b_at = np.append(first, len(cell))
-        self.b_ends = np.searchsorted(first, self.ends)
+        count = np.diff(np.append(first, len(cell)))
+        dense = count >= DENSE
+        thin = np.repeat(~dense, count)
+        self.thin_ends = np.append(0, np.cumsum(thin))[self.ends]
+        self.thin_row, self.thin_impact = self.row[thin], self.impact[thin]
+        first, count = first[dense], count[dense]
+        term, tile = np.divmod(cell[first], self.tiles)
+        del cell, new, thin
+        #: Terms with a row in a matrix, and the number of each among them.
+        common = np.unique(term)
+        self.column = np.full(len(self.terms) + 1, -1, np.int32)
+        self.column[common] = np.arange(len(common))
+        self.block_max = np.zeros((len(common), self.tiles * TILE // DOC_BLOCK), np.float32)
+        #: Of each tile: its terms (as columns), their impacts by document, and their numbers of postings.
+        self.matrix = []
+        for k in range(self.tiles):
+            own = np.flatnonzero(tile == k)
+            at = _slices(first[own], first[own] + count[own])
+            held = np.zeros((len(own), TILE), np.float32)
+            held[np.repeat(np.arange(len(own)), count[own]), self.row[at] - k * TILE] = self.impact[at]
+            columns = self.column[term[own]]
+            self.block_max[columns, k * TILE // DOC_BLOCK : (k + 1) * TILE // DOC_BLOCK] = held.reshape(len(own), TILE // DOC_BLOCK, DOC_BLOCK).max(2)
+            self.matrix.append((columns, held, count[own]))
+        # terms and impacts by document, and by term within one
+        order = np.argsort(self.row.astype(np.uint16) if self.docs < 1 << 16 else self.row, kind="stable")
+        self.by_row, self.by_row_impact = term_of[order], self.impact[order]
+        self.row_ends = np.append(0, np.cumsum(np.bincount(self.row, minlength=self.docs)))
+        self.weight = np.zeros(len(self.terms))  # of one query's terms, while it is scored
         self.read = 0  # postings that searches have read
 
-    def _bounds(self, terms: np.ndarray, idf: np.ndarray) -> np.ndarray:
-        """The sum of the terms' block maxima in each block; in the last digits never below a sum of impacts."""
-        a, b = self.b_ends[terms], self.b_ends[terms + 1]
-        runs = [slice(x, y) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
-        if not runs:
-            return np.zeros(self.blocks)
-        return np.bincount(np.concatenate([self.b_block[r] for r in runs]), np.repeat(idf * (1 + 1e-9), b - a) * np.concatenate([self.b_max[r] for r in runs]), self.blocks)
-
     def _add(self, terms: np.ndarray, idf: np.ndarray, live: np.ndarray) -> np.ndarray:
-        """The sum by document over the terms' postings in live blocks (and maybe others).
+        """The sum by document over the terms' postings in live blocks.
 
         Terms are added in one order, so equal texts have equal sums.
         """
-        if live.sum() * 4 > self.blocks:  # whole lists are read faster than so many pieces
-            a, b = self.ends[terms], self.ends[terms + 1]
-            runs = [slice(x, y) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
-            self.read += int((b - a).sum())
-            if not runs:
-                return np.zeros(self.docs)
-            return np.bincount(np.concatenate([self.row[r] for r in runs]), np.repeat(idf, b - a) * np.concatenate([self.impact[r] for r in runs]), self.docs)
-        a, b = self.b_ends[terms], self.b_ends[terms + 1]
-        cursor = _slices(a, b)
-        hit = live[self.b_block[cursor]]
-        cursor, weight = cursor[hit], np.repeat(idf, b - a)[hit]
-        start, end = self.b_at[cursor], self.b_at[cursor + 1]
-        at = _slices(start, end)
+        a, b = self.ends[terms], self.ends[terms + 1]
+        at, weight = _slices(a, b), np.repeat(idf, b - a)
+        if not live.all():
+            hit = live[self.of[self.row[at]]]
+            at, weight = at[hit], weight[hit]
         self.read += len(at)
-        return np.bincount(self.row[at], np.repeat(weight, end - start) * self.impact[at], self.docs)
+        return np.bincount(self.row[at], weight * self.impact[at], self.docs)
 
     def _exact(self, docs: np.ndarray, terms: np.ndarray, idf: np.ndarray) -> np.ndarray:
-        live = np.zeros(self.blocks, bool)
-        live[self.of[docs]] = True
-        return self._add(terms, idf, live)[docs]
+        """The documents' scores: from their own postings, or from the terms' lists where that is less; the sums are the same."""
+        if (self.row_ends[docs + 1] - self.row_ends[docs]).sum() > self.df[terms].sum():
+            return self._add(terms, idf, np.ones(self.blocks, bool))[docs]
+        a, b = self.row_ends[docs], self.row_ends[docs + 1]
+        at = _slices(a, b)
+        self.read += len(at)
+        self.weight[terms] = idf
+        out = np.bincount(np.repeat(np.arange(len(docs)), b - a), self.weight[self.by_row[at]] * self.by_row_impact[at], len(docs))
+        self.weight[terms] = 0
+        return out
+
+    def _thin(self, ends: np.ndarray, terms: np.ndarray, idf: np.ndarray) -> np.ndarray:
+        """The sums over the thin lists, a row a query."""
+        n, width = len(ends) - 1, self.tiles * TILE
+        out = np.empty((n, width), np.float32)
+        a, b = self.thin_ends[terms], self.thin_ends[terms + 1]
+        query = np.repeat(np.arange(n), np.diff(ends))
+        upto = np.append(0, np.cumsum(b - a))
+        self.read += int(upto[-1])
+        lo = 0
+        while lo < n:
+            hi = max(lo + 1, int(np.searchsorted(upto[ends], upto[ends[lo]] + THIN, "right")) - 1)
+            of = slice(ends[lo], ends[hi])
+            runs = b[of] - a[of]
+            at = _slices(a[of], b[of])
+            place = np.repeat((query[of] - lo) * width, runs)
+            place += self.thin_row[at]
+            out[lo:hi] = np.bincount(place, np.repeat(idf[of], runs) * self.thin_impact[at], (hi - lo) * width).reshape(hi - lo, width)
+            lo = hi
+        return out
+
+    def _candidates(self, ends: np.ndarray, terms: np.ndarray, idf: np.ndarray, k: int, least: np.ndarray):
+        """(queries, documents) that may reach `least`, and the best k of queries without one."""
+        n, per = len(ends) - 1, TILE // DOC_BLOCK
+        query, column = np.repeat(np.arange(n), np.diff(ends)), self.column[terms]
+        weight = np.zeros((n, len(self.block_max)), np.float32)
+        weight[query[column >= 0], column[column >= 0]] = idf[column >= 0]
+        # sums of so many numbers of 24 bits are off by less than this part
+        slip = (np.diff(ends) + 16) * 2.0**-22
+        reach = self._thin(ends, terms, idf)
+        reach[:, self.known :] = -np.inf
+        bound = (weight @ self.block_max) * (1 + slip)[:, None]
+        floor = least * (1 - slip)
+        # pivots: blocks in which the best thin sum and the block maxima add up to the threshold
+        pivot = (reach.reshape(n, self.tiles * per, DOC_BLOCK).max(2) + bound >= np.maximum(floor, 1e-300)[:, None]).reshape(n, self.tiles, per).any(2)
+        opened = least <= 0
+        found = []
+        for tile, (columns, held, count) in enumerate(self.matrix):
+            rows = np.flatnonzero(pivot[:, tile])
+            if not len(rows):
+                continue
+            at = slice(tile * TILE, (tile + 1) * TILE)
+            may = reach[rows, at] + np.repeat(bound[rows, tile * per : (tile + 1) * per], DOC_BLOCK, axis=1) >= floor[rows, None]
+            many = opened[rows] | (may.sum(1) > FEW)
+            q, doc = np.nonzero(may & ~many[:, None])
+            found.append((rows[q], doc + tile * TILE))
+            rows = rows[many]
+            if not len(rows):
+                continue
+            own = weight[rows][:, columns]
+            self.read += int((own > 0).sum(0) @ count)
+            total = reach[rows, at] + own @ held
+            reach[rows, at] = total
+            q, doc = np.nonzero((total >= np.maximum(floor[rows], 1e-300)[:, None]) & ~opened[rows, None])
+            found.append((rows[q], doc + tile * TILE))
+        for q in np.flatnonzero(opened):
+            total = reach[q]
+            limit = max(np.partition(total, -k)[-k] * (1 - 2 * slip[q]), 0.0) if len(total) > k else 0.0
+            docs = np.flatnonzero((total > 0) & (total >= limit))
+            found.append((np.full(len(docs), q), docs))
+        if not found:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+    def search_all(self, ends: np.ndarray, terms: np.ndarray, idf: np.ndarray, k: int, least: np.ndarray):
+        """Yields (query, documents, scores): those that may be among its best k; those tied with the k-th too.
+
+        terms: numbers of the queries' terms here, ascending in each query, which `ends` cuts.
+        Documents below a query's `least` are left out.
+        """
+        for lo in range(0, len(ends) - 1, TOGETHER):
+            hi = min(lo + TOGETHER, len(ends) - 1)
+            of = slice(ends[lo], ends[hi])
+            queries, docs = self._candidates(ends[lo : hi + 1] - ends[lo], terms[of], idf[of], k, least[lo:hi])
+            order = np.lexsort((docs, queries))
+            queries, docs = queries[order], docs[order]
+            asked, first = np.unique(queries, return_index=True)
+            for q, a, b in zip(asked.tolist(), first.tolist(), np.append(first, len(docs))[1:].tolist(), strict=True):
+                own = slice(ends[lo + q], ends[lo + q + 1])
+                score = self._exact(docs[a:b], terms[own], idf[own])
+                keep = (score >= least[lo + q]) & (score > 0)
+                if keep.any():
+                    yield lo + q, docs[a:b][keep], score[keep]
 
     def search(self, terms: np.ndarray, idf: np.ndarray, k: int, least: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
-        """Documents that may be among the best k, and their scores; those tied with the k-th too.
-
-        terms: numbers of the query's terms here, ascending.  Documents below `least` are left out.
-        """
-        none = np.empty(0, np.int64), np.empty(0)
-        if not len(terms):
-            return none
-        rare = self.df[terms] <= RARE * self.docs
-        rest = self._bounds(terms[~rare], idf[~rare])
-        pivots = rest + self._bounds(terms[rare], idf[rare]) >= least
-        if not pivots.any():
-            return none
-        # rare lists are read in the pivots; the common ones only follow to documents that can still reach the threshold
-        reach = self._add(terms[rare], idf[rare], pivots) + rest[self.of]
-        reach[self.known :] = 0
-        reach[~pivots[self.of]] = 0
-        if least <= 0 and self.known > k:
-            top = np.argpartition(-reach, k - 1)[:k]
-            top = top[reach[top] > 0]
-            if len(top) == k:
-                least = self._exact(top, terms, idf).min()
-        found = np.flatnonzero((reach >= least) & (reach > 0))
-        if not len(found):
-            return none
-        score = self._exact(found, terms, idf)
-        keep = (score >= least) & (score > 0)
-        return found[keep], score[keep]
+        """The same for one query."""
+        for _, docs, score in self.search_all(np.array([0, len(terms)]), terms, idf, k, np.array([least])):
+            return docs, score
+        return np.empty(0, np.int64), np.empty(0)
 
 
 # ---------------------------------------------------------------- over tables
@@ -256,22 +360,20 @@ def _search(shared, average: float, k: int):
     @tidy
     def run(batches):
         queries, ends, term, idf, vocabulary, floors = shared.value
-        held = [(np.empty(0, np.int64), np.empty(0))] * len(queries)
+        held, floors = [(np.empty(0, np.int64), np.empty(0))] * len(queries), floors.copy()
         for batch in batches:
             for content in _read(batch, ("docs", "known", *_KINDS)):
                 shard = Shard(content, average)
                 if not len(shard.terms):
                     continue
                 at = np.minimum(np.searchsorted(shard.terms, vocabulary), len(shard.terms) - 1)
-                here = shard.terms[at] == vocabulary
-                for q in range(len(queries)):
-                    own = term[ends[q] : ends[q + 1]]
-                    own, weight = own[here[own]], idf[ends[q] : ends[q + 1]][here[own]]
-                    ids, score = held[q]
-                    least = max(floors[q], score[-1] if len(score) == k else 0.0)
-                    docs, more = shard.search(at[own], weight, k, least)
-                    if len(docs):
-                        held[q] = _best(np.append(ids, shard.ids[docs]), np.append(score, more), k)
+                here = (shard.terms[at] == vocabulary)[term]
+                own = term[here]
+                for q, docs, score in shard.search_all(np.append(0, np.cumsum(here))[ends], at[own], idf[own], k, floors):
+                    ids, before = held[q]
+                    held[q] = ids, before = _best(np.append(ids, shard.ids[docs]), np.append(before, score), k)
+                    if len(before) == k:
+                        floors[q] = max(floors[q], before[-1])
         sizes = [len(ids) for ids, _ in held]
         if sum(sizes):
             ids, score = (np.concatenate([h[c] for h in held]) for c in (0, 1))
@@ -314,14 +416,20 @@ def bm25_top(docs: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
         table = weighted.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).toArrow()  # bounded by TERM_BLOCK, about
         ids, term, idf = (np.asarray(table[c].combine_chunks()) for c in ("query_id", "term", "idf"))
         vocabulary, term = np.unique(term.view(np.uint64), return_inverse=True)
+        weight = np.empty(len(vocabulary))
+        weight[term] = idf  # a term's, whatever the query
         order = np.lexsort((term, ids))
         asked_ids, starts = np.unique(ids[order], return_index=True)
+        ends, term = np.append(starts, len(ids)), term[order].astype(np.int32)
+        del table, ids, idf, order
         floors = np.zeros(len(asked_ids))
         for wave in range(waves + 1):
             low, high = WAVE ** float(wave - 1 - waves) if wave else 0.0, WAVE ** float(wave - waves)
-            shared = spark.sparkContext.broadcast((asked_ids, np.append(starts, len(ids)), term[order], idf[order], vocabulary, floors))
+            shared = spark.sparkContext.broadcast((asked_ids, ends, term, weight, vocabulary, floors))
             part = index.where((F.col("place") >= low) & (F.col("place") < high)) if high < 1 else index.where(F.col("place") >= low)
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1)  # a row is a shard
             hits.add(part.drop("place", "words").mapInArrow(_search(shared, average, k), _HIT), f"block={block}")
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
             if wave < waves:
                 known = _ranked(hits.read(f"block={block}"), k).where(F.col("rank") == k).select("query_id", "score").toArrow()  # a row a query of the block
                 floors[np.searchsorted(asked_ids, np.asarray(known["query_id"].combine_chunks()))] = np.asarray(known["score"].combine_chunks())

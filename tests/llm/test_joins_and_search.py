@@ -294,3 +294,36 @@ def test_index_is_narrow():
         content = bm25._stored("rows", np.array(values, np.int64))
         assert len(content) == 1 + size * len(values)
         assert bm25._loaded("rows", pa.py_buffer(content)).tolist() == values
+
+
+def test_counts_are_packed():
+    """The counting step sends a row a batch and part, however many shingles there are, and counts as brute force does."""
+    texts = corpus(random.Random(9), 300)
+    batches = [pa.record_batch({"text": pa.array(texts[k : k + 40])}) for k in range(0, 300, 40)]
+    rows = [b for task in (batches[:3], batches[3:]) for b in jaccard_join._entries(5)(iter(task))]
+    assert sum(b.num_rows for b in rows) == 5 * len(batches)
+    got = Counter()
+    for part in range(5):
+        for b in jaccard_join._shared(iter([b.filter(np.asarray(b.column("part")) == part) for b in rows])):
+            got.update(dict(zip(*b.to_pydict().values(), strict=True)))
+    sets = {jaccard_join._key(s): s[s < jaccard_join.SEEN] for _, s in common.shingle_sets(pa.array(texts)) if len(s)}
+    df = Counter(x for s in sets.values() for x in s.tolist())
+    want = {int(np.uint64(k).astype(np.int64)): n for k, s in sets.items() if (n := sum(df[x] > 1 for x in s.tolist()))}
+    # a class that two tasks have may count twice: the filter needs no less than the true number
+    twice = {jaccard_join._key(s) for _, s in common.shingle_sets(pa.array(texts[:120])) if len(s)} & {jaccard_join._key(s) for _, s in common.shingle_sets(pa.array(texts[120:])) if len(s)}
+    twice = {int(np.uint64(k).astype(np.int64)) for k in twice}
+    assert got.keys() == want.keys() and all(got[k] == n or (k in twice and got[k] > n) for k, n in want.items())
+    assert list(jaccard_join._shared(iter([]))) == []
+
+
+def test_only_wanted_sets_are_given_out():
+    """Sets of classes that can't link don't leave the task that reads them."""
+    texts = corpus(random.Random(10), 60)
+    batch = pa.record_batch({"text": pa.array(texts)})
+    every = [k for b in jaccard_join._sets(None)(iter([batch])) for k in b.column("key").to_pylist()]
+
+    class Sent:
+        value = np.sort(np.array(every[::7], np.int64).view(np.uint64))
+
+    some = [k for b in jaccard_join._sets(Sent)(iter([batch])) for k in b.column("key").to_pylist()]
+    assert some == every[::7] and len(every) == len(set(every)) > 7

@@ -7,7 +7,9 @@ Plan:
 2. A class that links with another has at most `floor(n / 4)` (for 0.75) shingles that no
    other class has.  A second scan counts, over the shingles in a fixed part of the hash
    space, how many of each class's shingles another class also has.  Copies and local
-   repeats are combined before the shuffle.  Classes below the bound can't link.
+   repeats are combined before the shuffle, to which each batch gives a row for each part of
+   the hash space, not one for each shingle.  Classes below the bound can't link, and no task
+   gives out their sets.
 3. The sets of the remaining classes get one global order, rarest shingle first.  Two linked
    sets share a shingle of their prefixes in that order.  Star edges over those shingles
    give candidate groups.
@@ -38,7 +40,11 @@ WHOLE, SPREAD = 256, 8
 PART_ROWS, LEAST_PARTS = 1_000_000, 64
 #: The part of the hash space whose shingles the counting step looks at.
 SEEN = np.uint64(3 << 61)
-CHUNK_ROWS = 20_000
+#: Rows, and about the bytes of packed ones, that a worker hands on at a time.
+CHUNK_ROWS, CHUNK_BYTES = 20_000, 8 << 20
+#: Keys of remaining classes that every task may get, 32 MB, to leave out the sets of all others at once.
+#: Where there are more, a join leaves these out.
+WANTED = 4_000_000
 
 
 def _key(s: np.ndarray) -> int:
@@ -65,88 +71,124 @@ def describe(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(_describe, "doc_id long, n long, m long, key long")
 
 
-_ENTRY = pa.schema([("token", pa.int64()), ("key", pa.int64()), ("cnt", pa.int64())])
+#: Of one part of the hash space: shingles and the classes that have them; shared shingles; classes and counts.  All are runs of 64-bit numbers.
+_ENTRY = "part int, pairs binary, fresh binary, counts binary"
 
 
-@tidy
-def _entries(batches):
-    """Rows by cnt.  0: here one class has the shingle; -1: several have it; above 0: so many of the key's shingles are shared here.
+def _dealt(parts: int, deal: np.ndarray, *columns: np.ndarray) -> list[bytes]:
+    """The rows of each part, all of a column after all of the one before."""
+    part = (deal % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    ends = np.searchsorted(part[order], np.arange(parts + 1))
+    columns = [c[order] for c in columns]
+    return [b"".join(c[a:b].tobytes() for c in columns) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def _entries(parts: int):
+    """For each batch a row a part of the hash space, which holds what the batch has in it.
 
-    A shingle that several classes of a batch have is counted for them on the spot, and for
-    all later ones of the task; for others it is sent once a task.  So a shingle that every
-    document has brings a row from each task, not one from each document.
+    pairs: one class of the batch has the shingle; fresh: several have it; counts: so many of
+    the class's shingles are shared here.  A shingle that several classes of a batch have is
+    counted for them on the spot, and for all later ones of the task; for others it is sent
+    once a task.  So a shingle that every document has comes once from each task, not once
+    from each document.
     """
-    done: set[int] = set()
-    known = np.empty(0, np.uint64)  # shingles that are shared in this task
-    for batch in batches:
-        tokens, keys = [], []
-        for _, s in shingle_sets(batch.column("text")):
-            if len(s) and (k := _key(s)) not in done:
-                done.add(k)
-                part = s[: np.searchsorted(s, SEEN)]
-                tokens.append(part)
-                keys.append(np.full(len(part), k, np.uint64))
-        if not tokens:
-            continue
-        t, k = np.concatenate(tokens), np.concatenate(keys)
-        if not len(t):
-            continue
-        order = np.argsort(t, kind="stable")
-        t, k = t[order], k[order]
-        same = t[1:] == t[:-1]
-        shared = np.concatenate(([False], same)) | np.concatenate((same, [False]))
-        fresh = np.setdiff1d(t[shared], known)
-        if len(known):
-            at = np.minimum(np.searchsorted(known, t), len(known) - 1)
-            shared |= known[at] == t
-        known = np.union1d(known, fresh)
-        own, times = np.unique(k[shared], return_counts=True)
-        token = np.concatenate((t[~shared], fresh, own))
-        key = np.concatenate((k[~shared], np.zeros(len(fresh), np.uint64), own))
-        cnt = np.concatenate((np.zeros((~shared).sum(), np.int64), np.full(len(fresh), -1), times.astype(np.int64)))
-        yield from pa.table([signed(token), signed(key), cnt], _ENTRY).to_batches(CHUNK_ROWS)
+
+    @tidy
+    def run(batches):
+        done: set[int] = set()
+        known = np.empty(0, np.uint64)  # shingles that are shared in this task
+        for batch in batches:
+            tokens, keys = [], []
+            for _, s in shingle_sets(batch.column("text")):
+                if len(s) and (k := _key(s)) not in done:
+                    done.add(k)
+                    part = s[: np.searchsorted(s, SEEN)]
+                    tokens.append(part)
+                    keys.append(np.full(len(part), k, np.uint64))
+            if not tokens:
+                continue
+            t, k = np.concatenate(tokens), np.concatenate(keys)
+            if not len(t):
+                continue
+            order = np.argsort(t, kind="stable")
+            t, k = t[order], k[order]
+            same = t[1:] == t[:-1]
+            shared = np.concatenate(([False], same)) | np.concatenate((same, [False]))
+            fresh = np.setdiff1d(t[shared], known)
+            if len(known):
+                at = np.minimum(np.searchsorted(known, t), len(known) - 1)
+                shared |= known[at] == t
+            known = np.union1d(known, fresh)
+            own, times = np.unique(k[shared], return_counts=True)
+            pairs = _dealt(parts, t[~shared], t[~shared], k[~shared])
+            rows = pa.table({"part": pa.array(range(parts), pa.int32()), "pairs": pairs, "fresh": _dealt(parts, fresh, fresh), "counts": _dealt(parts, own, own, times.astype(np.uint64))})
+            yield from rows.to_batches(max(1, parts * CHUNK_BYTES // (rows.nbytes + 1)))
+
+    return run
+
+
+def _runs(rows: list, width: int) -> list[np.ndarray]:
+    """The columns that _dealt has put into the rows."""
+    parts = [np.frombuffer(x, np.uint64).reshape(width, -1) for x in rows]
+    return list(np.concatenate(parts, axis=1)) if parts else [np.empty(0, np.uint64)] * width
 
 
 @tidy
 def _shared(batches):
-    parts = [tuple(np.asarray(batch.column(c)) for c in ("token", "key", "cnt")) for batch in batches]
-    if not parts:
-        return
-    token, key, cnt = (np.concatenate(x) for x in zip(*parts, strict=True))
-    parts.clear()
-    plain = cnt > 0
-    keys, counts = [key[plain]], [cnt[plain]]
-    token, key, cnt = token[~plain], key[~plain], cnt[~plain]
+    held: list[list] = [[], [], []]
+    for batch in batches:
+        for column, name in zip(held, ("pairs", "fresh", "counts"), strict=True):
+            column.extend(x.as_buffer() for x in batch.column(name))
+    (token, key), (fresh,), (own, times) = (_runs(x, n) for x, n in zip(held, (2, 1, 2), strict=True))
+    held.clear()
+    keys, counts = [own], [times.astype(np.int64)]
     if len(token):
         order = np.lexsort((key, token))
-        token, key, cnt = token[order], key[order], cnt[order]
+        token, key = token[order], key[order]
         new_token = np.concatenate(([True], token[1:] != token[:-1]))
-        new_pair = (new_token | np.concatenate(([True], key[1:] != key[:-1]))) & (cnt == 0)
+        new_pair = new_token | np.concatenate(([True], key[1:] != key[:-1]))
         at = np.flatnonzero(new_token)
-        many = (np.add.reduceat(new_pair.astype(np.int64), at) > 1) | (np.minimum.reduceat(cnt, at) < 0)
+        many = (np.add.reduceat(new_pair.astype(np.int64), at) > 1) | np.isin(token[at], fresh)
         chosen = key[new_pair & many[np.cumsum(new_token) - 1]]
         keys.append(chosen)
         counts.append(np.ones(len(chosen), np.int64))
     keys, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+    if not len(keys):
+        return
     total = np.bincount(inverse, np.concatenate(counts), len(keys)).astype(np.int64)
-    yield from pa.table({"key": keys, "cnt": total}).to_batches(CHUNK_ROWS)
+    yield from pa.table({"key": signed(keys), "cnt": total}).to_batches(CHUNK_ROWS)
+
+
+def _sets(wanted):
+    """The sets of the classes whose keys the broadcast array has, ascending; of all without one."""
+
+    @tidy
+    def run(batches):
+        done: set[int] = set()
+        asked = None if wanted is None else wanted.value
+        for batch in batches:
+            keys, sets = [], []
+            for _, s in shingle_sets(batch.column("text")):
+                if len(s) and (k := _key(s)) not in done and (asked is None or asked[min(np.searchsorted(asked, np.uint64(k)), len(asked) - 1)] == k):
+                    done.add(k)
+                    keys.append(k)
+                    sets.append(s)
+                if sets and len(sets) >= 512:
+                    yield _set_batch(keys, sets)
+                    keys, sets = [], []
+            if sets:
+                yield _set_batch(keys, sets)
 
+    return run
 
-@tidy
-def _sets(batches):
-    done: set[int] = set()
-    for batch in batches:
-        keys, sets = [], []
-        for _, s in shingle_sets(batch.column("text")):
-            if len(s) and (k := _key(s)) not in done:
-                done.add(k)
-                keys.append(k)
-                sets.append(s)
-            if sets and len(sets) >= 512:
-                yield _set_batch(keys, sets)
-                keys, sets = [], []
-        if sets:
-            yield _set_batch(keys, sets)
+
+def _wanted(alive: DataFrame):
+    """The keys of alive as a broadcast array, if there are few enough of them (and any)."""
+    if not 0 < alive.count() <= WANTED:
+        return None
+    keys = np.asarray(alive.select("key").toArrow()["key"].combine_chunks())
+    return alive.sparkSession.sparkContext.broadcast(np.sort(keys.view(np.uint64)))
 
 
 def _set_batch(keys, sets):
@@ -253,11 +295,15 @@ def link_classes(docs: DataFrame, described: DataFrame, num: int = 3, den: int =
     total = classes.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
     parts = max(LEAST_PARTS, -(-total // PART_ROWS))
     texts = docs.select("text")
-    counts = texts.mapInArrow(_entries, "token long, key long, cnt long").repartition(parts, "token").mapInArrow(_shared, "key long, cnt long").groupBy("key").agg(F.sum("cnt").alias("cnt"))
+    dealt = texts.mapInArrow(_entries(parts), _ENTRY).repartitionById(parts, "part")
+    counts = dealt.mapInArrow(_shared, "key long, cnt long").groupBy("key").agg(F.sum("cnt").alias("cnt"))
     slack = f"n - (n * {num} + {den - 1}) div {den}"
     alive = durable(classes.join(counts, "key", "left").where(f"coalesce(cnt, 0) >= m - ({slack})").select("key", "n", "copies"))
-    sets = texts.mapInArrow(_sets, "key long, tokens array<long>").join(small(alive), "key").groupBy("key").agg(F.first("tokens").alias("tokens"), F.first("n").alias("n"), F.first("copies").alias("copies"))
+    wanted = _wanted(alive)
+    sets = texts.mapInArrow(_sets(wanted), "key long, tokens array<long>").join(small(alive), "key").groupBy("key").agg(F.first("tokens").alias("tokens"), F.first("n").alias("n"), F.first("copies").alias("copies"))
     sets = durable(sets)
+    if wanted is not None:
+        wanted.destroy()
     entries = sets.select("key", F.explode("tokens").alias("token"))
     common = durable(entries.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").withColumn("n", F.col("df")))
     held = join_hot(entries, common, "token").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared"))

@@ -1,0 +1,89 @@
+"""The size of a join by one inequality, which is found without its pairs."""
+
+import math
+from datetime import date
+from decimal import Decimal
+
+import pytest
+
+from tidewater import Session, catalogue
+from tidewater.plans import binder
+
+NAN, INF = float("nan"), float("inf")
+LEFT = [(1, 1.0, "a", 3), (2, NAN, "b", None), (3, -0.0, None, 5), (4, None, "c", 1), (5, 7.5, "b", 3), (6, 7.5, "", 3), (7, -INF, "é", 9)]
+RIGHT = [(1, 0.0, "b", 3), (2, NAN, "a", 3), (3, 7.5, "b", None), (4, None, None, 4), (5, INF, "aa", 2**40), (6, 7.5, "", -1)]
+
+
+@pytest.fixture(scope="module")
+def session(spark):
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    left, right = frame(LEFT, "k int, x double, t string, i int"), frame(RIGHT, "m int, y double, u string, j bigint")
+    days = frame([(date(2024, 1, 1), Decimal("1.5")), (date(2024, 3, 1), Decimal("2.5"))], "d date, e decimal(9, 2)")
+    return Session(spark, {"l": left, "r": right, "none": right.limit(0), "days": days, "big": spark.range(400_000), "skew": spark.range(400_000).selectExpr("id DIV 100000 * 100000 AS b")}, database="tidewater_pairs")
+
+
+def _above(a, b, op):
+    """As SQL has it here: NaN equals itself and is above all others."""
+    if a is None or b is None:
+        return False
+    key = lambda v: (1, 0) if isinstance(v, float) and math.isnan(v) else (0, v)
+    a, b = key(a), key(b)
+    return {"<": a < b, "<=": a <= b, ">": a > b, ">=": a >= b}[op]
+
+
+@pytest.mark.parametrize(("op", "source"), [("<", "l JOIN r ON {}"), ("<=", "r JOIN l ON {}"), (">", "r, l WHERE {}"), (">=", "l CROSS JOIN r WHERE TRUE AND {} AND k > 0 AND m < 9")])
+@pytest.mark.parametrize(("a", "b", "at"), [("x", "y", (1, 1)), ("t", "u", (2, 2)), ("i", "j", (3, 3)), ("x", "j", (1, 3))])
+def test_against_pairs(session, source, a, b, at, op):
+    sql = "SELECT COUNT(*) AS n FROM " + source.format(f"l.{a} {op} r.{b}")
+    want = sum(_above(p[at[0]], q[at[1]], op) for p in LEFT for q in RIGHT)
+    assert session.sql(sql).collect()[0].n == want
+    plan = session.explain(sql)
+    assert "Join" not in plan and "Cartesian" not in plan
+
+
+@pytest.mark.parametrize(
+    ("sql", "want"),
+    [
+        ("SELECT COUNT(*) AS n FROM l JOIN none ON l.x > none.y", [(0,)]),
+        ("SELECT COUNT(*) AS n FROM l JOIN r ON l.x > r.y AND FALSE", [(0,)]),
+        ("SELECT COUNT(*) AS n FROM l JOIN r ON l.k + 1 < r.m * 2 WHERE l.t IS NOT NULL AND r.m IN (1, 2, 3)", [(sum(k + 1 < 2 * m for k in (1, 2, 4, 5, 6, 7) for m in (1, 2, 3)),)]),
+        ("SELECT COUNT(*) + 1 AS n, COUNT(*) AS m FROM l JOIN r ON l.k < r.m HAVING COUNT(*) > 2 ORDER BY COUNT(*)", [(16, 15)]),
+        ("SELECT COUNT(*) AS n FROM l JOIN r ON l.k < r.m HAVING COUNT(*) > 20", []),
+        ("SELECT COUNT(*) AS n FROM l AS p JOIN l AS q ON p.k < q.k", [(21,)]),
+        ("SELECT COUNT(*) AS n FROM l AS p JOIN l AS q ON p.k = q.k JOIN r ON p.k < m", [(15,)]),
+        ("SELECT COUNT(*) AS n FROM l LEFT JOIN none ON l.k = none.m JOIN r ON l.k < r.m WHERE none.m IS NULL", [(15,)]),
+        ("SELECT COUNT(*) AS n FROM days AS p JOIN days AS q ON p.d < q.d", [(1,)]),
+        ("SELECT COUNT(*) AS n FROM days AS p JOIN days AS q ON p.e >= q.e", [(3,)]),
+        ("SELECT COUNT(*) AS n FROM l JOIN r ON l.k < r.m AND l.k > (SELECT MIN(k) FROM l)", [(10,)]),
+        # these are joined as before
+        ("SELECT COUNT(*) AS n FROM l LEFT JOIN r ON l.k < r.m", [(17,)]),
+        ("SELECT COUNT(*) AS n FROM l JOIN r ON l.k < r.m AND l.k > r.m - 3", [(9,)]),
+        ("SELECT COUNT(*) AS n FROM l JOIN r ON l.k = r.m AND l.k + r.m > 4", [(4,)]),
+        ("SELECT COUNT(*) AS n FROM l JOIN r ON NOT l.k < r.m", [(27,)]),
+        ("SELECT COUNT(*) AS n, MAX(k) AS k FROM l JOIN r ON l.k < r.m", [(15, 5)]),
+        ("SELECT COUNT(*) AS n FROM l JOIN days ON l.k > days.e", [(11,)]),
+    ],
+)
+def test_results(session, sql, want):
+    assert [tuple(r) for r in session.sql(sql).collect()] == want
+
+
+def test_many_ranges(session, spark, monkeypatch):
+    """Ranges of several partitions, and values that hold a quarter of the rows each."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        ranges = []
+        real = binder.count_pairs
+        monkeypatch.setattr(binder, "count_pairs", lambda *a: ranges.append(a) or real(*a))
+        assert session.sql("SELECT COUNT(*) AS n FROM big AS p JOIN big AS q ON p.id > q.id").collect()[0].n == 400_000 * 399_999 // 2
+        assert session.sql("SELECT COUNT(*) AS n FROM big AS p JOIN big AS q ON p.id >= q.id").collect()[0].n == 400_000 * 400_001 // 2
+        assert session.sql("SELECT COUNT(*) AS n FROM skew AS p JOIN skew AS q ON p.b > q.b").collect()[0].n == 100_000**2 * 6
+        assert session.sql("SELECT COUNT(*) AS n FROM big JOIN skew ON id < b").collect()[0].n == 100_000**2 * 6
+        assert len(ranges) == 4
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_catalogue_query_makes_no_pairs(spark):
+    s = catalogue.session(spark, "/root/testdata/sf0.001")
+    assert "Join" not in s.explain(catalogue.SQL["join_theta"])

@@ -145,6 +145,16 @@ def compare(op: str, a: Typed, b: Typed) -> Typed:
     return Typed(out, T.BooleanType())
 
 
+def comparable(a: T.DataType, b: T.DataType) -> T.DataType | None:
+    """The type to which Spark brings both sides of a comparison; None where that isn't plain."""
+    if a == b:
+        return a if _kind(a) in ("number", "text", "time") else None
+    if _kind(a) != "number" or _kind(b) != "number":
+        return None
+    to = promoted(a, b)
+    return None if isinstance(to, (T.DecimalType, T.FloatType)) or isinstance(a, T.DecimalType) or isinstance(b, T.DecimalType) else to
+
+
 def alternatives(values: list[Typed], what: str) -> tuple[list[Column], T.DataType]:
     """Columns of one type."""
     known = [v for v in values if not v.null]

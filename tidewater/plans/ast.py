@@ -207,3 +207,12 @@ def walk(e: Expr):
     yield e
     for c in children(e):
         yield from walk(c)
+
+
+def conjuncts(e: Expr):
+    """The conditions that AND puts together, in order."""
+    if isinstance(e, Logic) and e.op == "AND":
+        for x in e.operands:
+            yield from conjuncts(x)
+    else:
+        yield e
